@@ -18,8 +18,9 @@ from orderlytics.functions import (MONEY_SUM, day, day_name, day_number, iso_dow
 from orderlytics.operators import cohorts, costs, daily, facts, shares, windows
 from orderlytics.plans import oracle as o
 from orderlytics.sources import testdata as td
+from orderlytics.sources.params import CAMPAIGN_LABEL as CAMPAIGN_LABEL_DEFAULT
 
-CAMPAIGN_LABEL = td.campaigns().label_prefix
+CAMPAIGN_LABEL = CAMPAIGN_LABEL_DEFAULT
 
 
 def _shop(s, d):
