@@ -42,8 +42,22 @@ CANCEL_MOD, CANCEL_REM = 20, 7
 COURIERS = 4
 
 
+# Declared read schemas (only the columns the roles use): no schema-inference
+# job per read, and the scan's ReadSchema is fixed up front.
+SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_returnflag STRING, "
+                 "l_shipdate TIMESTAMP_NTZ"),
+    "part": "p_partkey BIGINT, p_name STRING, p_retailprice DOUBLE",
+    "events": "ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_items(spark, sf_dir) -> DataFrame:
