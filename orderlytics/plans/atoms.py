@@ -49,11 +49,13 @@ def scan_user_actions(s, d):
 
 
 def scan_orders(s, d):
-    ids = F.col("product_ids")
-    return _shop(s, d).orders.select(
-        "order_id", "creation_time",
-        F.size(ids).cast("bigint").alias("n_items"),
-        F.array_join(F.array_sort(ids).cast("array<string>"), " ").alias("items"))
+    """The orders role per order: header, number of lines and sum of product
+    ids (an order-insensitive digest of the product list), aggregated from the
+    normalised lines with map-side partial aggregation."""
+    shop = _shop(s, d)
+    per_order = facts.order_items(shop).groupBy("order_id").agg(
+        F.count("product_id").alias("n_items"), F.sum("product_id").alias("items_sum"))
+    return shop.order_headers().join(per_order, "order_id", "left")
 
 
 def scan_products(s, d):
@@ -66,7 +68,7 @@ def scan_courier_actions(s, d):
 
 # ------------------------------------------------ 2.2 projection and filters
 def project_alias(s, d):
-    return _shop(s, d).orders.select(F.col("order_id").alias("id"),
+    return _shop(s, d).order_headers().select(F.col("order_id").alias("id"),
                                      day("creation_time").alias("dt"))
 
 
@@ -454,7 +456,8 @@ def fn_safe_divide(s, d):
 
 
 def fn_explode(s, d):
-    return _shop(s, d).orders.select("order_id", F.explode("product_ids").alias("product_id"))
+    nested = td.order_fragments(s, d)
+    return nested.select("order_id", F.explode("product_ids").alias("product_id"))
 
 
 # -------------------------------------------------- 2.9 composite operators

@@ -52,7 +52,7 @@ ORACLE = {
     # 2.1 scans
     "scan_user_actions": 'SELECT user_id, order_id, action, "time" FROM ua',
     "scan_orders": """SELECT order_id, creation_time, CAST(len(product_ids) AS BIGINT) AS n_items,
-                             array_to_string(list_sort(product_ids), ' ') AS items FROM ord""",
+                             CAST(list_sum(product_ids) AS BIGINT) AS items_sum FROM ord""",
     "scan_products": "SELECT product_id, name, CAST(price AS DOUBLE) AS price FROM prod",
     "scan_courier_actions": 'SELECT courier_id, order_id, action, "time" FROM ca',
     # 2.2 projection, filters

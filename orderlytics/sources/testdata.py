@@ -1,9 +1,11 @@
 """Role adapters: the canonical order-service tables over the driver's
 TPC-H-like test tables (``/root/testdata/sf*/<table>.parquet``).
 
-  orders           orders left join (lineitem grouped by order, all part keys kept
-                   with duplicates) -> order_id, creation_time, product_ids
-  order_items      lineitem -> order_id, product_id (the same lines, normalised)
+  orders           orders -> order_id, creation_time (headers); the lines come as
+  order_items      lineitem -> order_id, product_id (bag: duplicates kept).
+                   The nested form (one product_ids array per order) is only built
+                   for tests of the nested contract (``orders``) or in bounded
+                   fragments (``order_fragments``).
   products         part -> product_id, name, price DECIMAL(12,2)
   user_actions     one create_order row per order at o_orderdate; orders with
                    o_orderkey % 20 = 7 also get a cancel_order row an hour later
@@ -65,12 +67,31 @@ def order_items(spark, sf_dir) -> DataFrame:
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
 
 
-def orders(spark, sf_dir) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(
+def order_headers(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("creation_time"))
+
+
+def orders(spark, sf_dir) -> DataFrame:
+    """The nested orders role with one array per order (test fixture for the
+    nested contract). The array of an order is as large as the order, so no
+    registered query builds it; they read ``order_items`` instead."""
     items = order_items(spark, sf_dir).groupBy("order_id").agg(
         F.collect_list("product_id").alias("product_ids"))
-    return o.join(items, "order_id", "left")
+    return order_headers(spark, sf_dir).join(items, "order_id", "left")
+
+
+def order_fragments(spark, sf_dir, max_items: int = 64) -> DataFrame:
+    """Nested order lines in fragments of at most ``max_items`` products:
+    order_id, creation_time, product_ids. Lines are grouped by order and by a
+    block of consecutive row ids, so no group exceeds ``max_items`` rows however
+    large one order is. Row ids follow the file splits, so a recomputed task
+    builds the same fragments; exploding them gives back every line once."""
+    li = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+        (F.monotonically_increasing_id() / F.lit(max_items)).cast("bigint").alias("block"))
+    frags = li.groupBy("order_id", "block").agg(F.collect_list("product_id").alias("product_ids"))
+    return order_headers(spark, sf_dir).join(frags, "order_id").drop("block")
 
 
 def products(spark, sf_dir) -> DataFrame:
@@ -115,7 +136,7 @@ def shop(spark: SparkSession, sf_dir: str, normalised: bool = True) -> Shop:
     lines over as items (no array round trip); False exercises the nested path."""
     return Shop.from_tables(
         user_actions(spark, sf_dir),
-        orders(spark, sf_dir),
+        order_headers(spark, sf_dir) if normalised else orders(spark, sf_dir),
         products(spark, sf_dir),
         courier_actions(spark, sf_dir),
         order_items(spark, sf_dir) if normalised else None,
