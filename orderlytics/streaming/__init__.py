@@ -1,0 +1,5 @@
+from orderlytics.streaming.activity import (  # noqa: F401
+    action_stream,
+    daily_active_users_stream,
+    run_to_parquet,
+)
