@@ -31,9 +31,10 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
     scratch = tempfile.mkdtemp(prefix="bench-", dir="/tmp")
     spark = get_session(
-        app="orderlytics-bench", master=f"local[{cpus}]", shuffle_partitions=2 * cpus,
+        app="orderlytics-bench", master=f"local[{cpus}]", shuffle_partitions=partitions,
         conf={"spark.driver.memory": "16g",
               "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
               "spark.local.dir": scratch})

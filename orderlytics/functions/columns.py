@@ -58,8 +58,14 @@ def money(c: str | Column) -> Column:
 
 
 def money_total(c: str | Column) -> Column:
-    """SUM of money, kept at MONEY_SUM scale."""
-    return F.sum(col(c)).cast(MONEY_SUM)
+    """SUM of money (values with at most 2 decimals), returned as MONEY_SUM.
+
+    The sum runs over exact integer cents in a BIGINT accumulator: Spark would
+    sum DECIMAL(12,2) into DECIMAL(22,2), which is past 18 digits and leaves
+    the long-backed fast path for BigDecimal arithmetic. ANSI mode turns an
+    overflow (beyond 9.2e16 in currency units) into an error, never a wrap."""
+    cents = (col(c) * F.lit(100)).cast("bigint")
+    return (F.sum(cents).cast(COUNT_DEC) / F.lit(100)).cast(MONEY_SUM)
 
 
 def round2(c: str | Column) -> Column:

@@ -7,14 +7,14 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.functions import MONEY_SUM, percent
+from orderlytics.functions import money_total, percent
 
 
 def grand_total(df: DataFrame, value: str) -> Column:
     """``SUM(value) OVER ()`` as a scalar subquery: computed once by its own
     (partially aggregated) job and used as a constant, so there is neither a
     single-partition window over all rows nor a cross join."""
-    return df.agg(F.sum(value).cast(MONEY_SUM)).scalar()
+    return df.agg(money_total(value)).scalar()
 
 
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
@@ -29,5 +29,4 @@ def fold_small(df: DataFrame, key: str, value: str, share: str, threshold: Decim
     out_key = out_key or key
     folded = F.when(F.col(share) >= F.lit(threshold), F.col(key)).otherwise(F.lit(label))
     return (df.groupBy(folded.alias(out_key))
-            .agg(F.sum(value).cast(MONEY_SUM).alias(value),
-                 F.sum(share).alias(share)))
+            .agg(money_total(value).alias(value), money_total(share).alias(share)))

@@ -240,7 +240,7 @@ def agg_max(s, d):
 
 def agg_avg(s, d):
     p = _shop(s, d).products
-    return p.groupBy("name").agg(out_num(ratio(F.sum("price"), F.count("price"))).alias("avg_price"))
+    return p.groupBy("name").agg(out_num(ratio(money_total("price"), F.count("price"))).alias("avg_price"))
 
 
 def _deliveries_per_courier(shop):
@@ -276,7 +276,7 @@ def agg_two_level(s, d):
 
 def agg_arith(s, d):
     return _vat_lines(_shop(s, d)).groupBy(day("creation_time").alias("dt")).agg(
-        out_num(F.sum("price") - F.sum("tax")).alias("net_revenue"))
+        out_num(money_total("price") - money_total("tax")).alias("net_revenue"))
 
 
 # -------------------------------------------------------------- 2.5 windows
@@ -604,7 +604,7 @@ def user_avg_check(s, d):
     per_order = lines.groupBy("ads_campaign", "user_id", "order_id").agg(
         money_total("price").alias("order_price"))
     per_user = per_order.groupBy("ads_campaign", "user_id").agg(
-        ratio(F.sum("order_price"), F.count("order_price")).alias("user_avg_check"))
+        ratio(money_total("order_price"), F.count("order_price")).alias("user_avg_check"))
     return _dbl(per_user, "user_avg_check")
 
 

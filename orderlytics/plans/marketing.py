@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.functions import MONEY_SUM, day, label, out_num, percent, ratio, round2
+from orderlytics.functions import MONEY_SUM, day, label, money_total, out_num, percent, ratio
 from orderlytics.operators import cohorts, facts, windows
 from orderlytics.sources.params import FIRST_WEEK, RETENTION_DAYS, Campaigns
 from orderlytics.sources.tables import Shop
@@ -32,7 +32,7 @@ def _spend(campaigns: Campaigns) -> Column:
 def _avg(c: str | Column) -> Column:
     """AVG as exact decimal SUM / COUNT (NULLs ignored, all-NULL -> NULL)."""
     c = F.col(c) if isinstance(c, str) else c
-    return ratio(F.sum(c), F.count(c))
+    return ratio(money_total(c), F.count(c))
 
 
 def m1_cac(shop: Shop, campaigns: Campaigns) -> DataFrame:
@@ -48,7 +48,7 @@ def m1_cac(shop: Shop, campaigns: Campaigns) -> DataFrame:
 def m2_roi(shop: Shop, campaigns: Campaigns) -> DataFrame:
     """ads_campaign, roi: (revenue - spend) / spend * 100."""
     lines = facts.campaign_order_lines(shop, campaigns)
-    per = lines.groupBy("ads_campaign").agg(F.sum("price").cast(MONEY_SUM).alias("revenue"))
+    per = lines.groupBy("ads_campaign").agg(money_total("price").alias("revenue"))
     spend = _spend(campaigns)
     return per.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
@@ -62,7 +62,7 @@ def m3_avg_check(shop: Shop, campaigns: Campaigns, window: tuple = FIRST_WEEK) -
     test looks at all time, so the window filters after it."""
     lines = facts.campaign_order_lines(shop, campaigns, window=window)
     per_order = lines.groupBy("ads_campaign", "user_id", "order_id").agg(
-        F.sum("price").cast(MONEY_SUM).alias("order_price"))
+        money_total("price").alias("order_price"))
     per_user = per_order.groupBy("ads_campaign", "user_id").agg(
         _avg("order_price").alias("user_avg_check"))
     per_campaign = per_user.groupBy("ads_campaign").agg(_avg("user_avg_check").alias("avg_check"))
@@ -98,7 +98,7 @@ def m6_cumulative_arppu(shop: Shop, campaigns: Campaigns) -> DataFrame:
     final number of buyers."""
     main = facts.campaign_order_lines(shop, campaigns)
     per_day = main.groupBy("ads_campaign", day("time").alias("dt")).agg(
-        F.sum("price").cast(MONEY_SUM).alias("revenue"))
+        money_total("price").alias("revenue"))
     totals = main.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
     totals = totals.select("ads_campaign", "paying_users",
                            ratio(_spend(campaigns), "paying_users").alias("cac"))
@@ -113,6 +113,3 @@ def m6_cumulative_arppu(shop: Shop, campaigns: Campaigns) -> DataFrame:
         .alias("cumulative_arppu"),
         out_num("cac").alias("cac"))
 
-
-__all__ = ["m1_cac", "m2_roi", "m3_avg_check", "m4_retention", "m5_campaign_retention",
-           "m6_cumulative_arppu", "round2"]
