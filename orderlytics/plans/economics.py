@@ -47,9 +47,8 @@ def _day_kpis(shop: Shop):
 def e2_arpu_arppu_aov(shop: Shop) -> DataFrame:
     """dt, arpu, arppu, aov per order day."""
     cancelled, base = _day_kpis(shop)
-    t = daily.star(base,
-                   daily.daily_active_users(shop.user_actions),
-                   daily.daily_paying_users(shop.user_actions, cancelled))
+    users = daily.users_and_payers(shop.user_actions, cancelled, day("time"))
+    t = daily.star(base, users.withColumnRenamed("_k", "dt"))
     return t.select(
         "dt",
         out_num(ratio("revenue", "users")).alias("arpu"),
@@ -88,11 +87,8 @@ def e4_weekday_arpu(shop: Shop, window: tuple = WEEKDAY_WINDOW) -> DataFrame:
         F.count_distinct("order_id").alias("orders"),
         money_total("price").alias("revenue"))
     acts = shop.user_actions.filter(in_window("time"))
-    t2 = acts.groupBy(day_name("time").alias("weekday")).agg(
-        F.count_distinct("user_id").alias("users"))
-    t3 = facts.valid(acts, cancelled).groupBy(day_name("time").alias("weekday")).agg(
-        F.count_distinct("user_id").alias("paying_users"))
-    t = daily.star(t1, t2, t3, on="weekday")
+    users = daily.users_and_payers(acts, cancelled, day_name("time"))
+    t = daily.star(t1, users.withColumnRenamed("_k", "weekday"), on="weekday")
     return t.select(
         "weekday", "weekday_number",
         out_num(ratio("revenue", "users")).alias("arpu"),
@@ -107,8 +103,12 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
     revenue by their action day (the two clocks of the metric)."""
     cancelled = facts.cancelled_orders(shop.user_actions)
     lines = facts.order_lines(shop, cancelled)
-    total = daily.daily_revenue(lines)
-    prices = daily.order_price(lines)
+    # One pass over the lines: per order its price and creation day (partitioned
+    # by order id, ready for the join to the actions); daily revenue from it.
+    per_order = lines.groupBy("order_id").agg(
+        F.max(day("creation_time")).alias("dt"), money_total("price").alias("order_price"))
+    total = per_order.groupBy("dt").agg(money_total("order_price").alias("revenue"))
+    prices = per_order.select("order_id", "order_price")
     new = daily.first_day_revenue(shop.user_actions, cancelled, prices)
     share = percent("new_users_revenue", "revenue")
     return total.join(new, "dt", "left").select(

@@ -97,9 +97,12 @@ def m6_cumulative_arppu(shop: Shop, campaigns: Campaigns) -> DataFrame:
     revenue days (gaps collapse); running revenue is divided by the campaign's
     final number of buyers."""
     main = facts.campaign_order_lines(shop, campaigns)
-    per_day = main.groupBy("ads_campaign", day("time").alias("dt")).agg(
+    # One pass over the joined lines: per campaign, day and buyer; both the daily
+    # revenue and the campaign's buyers are read from this aggregate's shuffle.
+    g = main.groupBy("ads_campaign", day("time").alias("dt"), "user_id").agg(
         money_total("price").alias("revenue"))
-    totals = main.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
+    per_day = g.groupBy("ads_campaign", "dt").agg(money_total("revenue").alias("revenue"))
+    totals = g.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
     totals = totals.select("ads_campaign", "paying_users",
                            ratio(_spend(campaigns), "paying_users").alias("cac"))
     # One row per reported campaign: bounded by the parameter, safe to broadcast.
