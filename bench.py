@@ -4,7 +4,7 @@
 
 Each query is fully executed with the ``noop`` sink (every row is produced, none
 is collected to the driver). After one untimed warm-up of the JVM, each query
-is timed ``BENCH_REPEAT`` times (default 2) and the best run is kept.
+is timed ``BENCH_REPEAT`` times (default 3) and the best run is kept.
 Prints one JSON line; ``value`` is the sum of the per-query times.
 With ``BENCH_DUCKDB=1`` the same metrics are also timed as single-node SQL
 (the oracle) and reported under ``single_node_sql``.
@@ -30,7 +30,7 @@ METRICS = list(oracle.METRICS)
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
     scratch = tempfile.mkdtemp(prefix="bench-", dir="/tmp")
     spark = get_session(

@@ -73,21 +73,22 @@ def project_alias(s, d):
 
 
 def _weekday_counts(shop):
-    t1 = (shop.order_headers().groupBy(day_name("creation_time").alias("weekday"))
+    by_orders = (shop.order_headers().groupBy(day_name("creation_time").alias("weekday"))
           .agg(F.max(iso_dow("creation_time")).alias("weekday_number"),
                F.count("order_id").alias("orders")))
-    t2 = (shop.user_actions.groupBy(day_name("time").alias("weekday"))
+    by_users = (shop.user_actions.groupBy(day_name("time").alias("weekday"))
           .agg(F.max(iso_dow("time")).alias("weekday_number"),
                F.count_distinct("user_id").alias("users")))
-    return t1, t2
+    return by_orders, by_users
 
 
 def project_qualified(s, d):
-    t1, t2 = _weekday_counts(_shop(s, d))
-    j = t1.alias("t1").join(t2.alias("t2"), F.col("t1.weekday") == F.col("t2.weekday"), "left")
-    return j.select(F.col("t1.weekday").alias("weekday"),
-                    F.col("t1.weekday_number").alias("weekday_number"),
-                    F.col("t1.orders").alias("orders"), F.col("t2.users").alias("users"))
+    by_orders, by_users = _weekday_counts(_shop(s, d))
+    j = by_orders.alias("o").join(by_users.alias("u"), F.col("o.weekday") == F.col("u.weekday"),
+                                  "left")
+    return j.select(F.col("o.weekday").alias("weekday"),
+                    F.col("o.weekday_number").alias("weekday_number"),
+                    F.col("o.orders").alias("orders"), F.col("u.users").alias("users"))
 
 
 def filter_eq(s, d):
@@ -156,26 +157,26 @@ def weekday_star_left(s, d):
     shop = _shop(s, d)
     cancelled = _cancelled(shop)
     lines = facts.order_lines(shop, cancelled)
-    t1 = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
+    sales = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
         F.max(iso_dow("creation_time")).alias("weekday_number"),
         F.count_distinct("order_id").alias("orders"), money_total("price").alias("revenue"))
-    t2 = shop.user_actions.groupBy(day_name("time").alias("weekday")).agg(
+    users = shop.user_actions.groupBy(day_name("time").alias("weekday")).agg(
         F.count_distinct("user_id").alias("users"))
-    t3 = facts.valid(shop.user_actions, cancelled).groupBy(day_name("time").alias("weekday")).agg(
+    payers = facts.valid(shop.user_actions, cancelled).groupBy(day_name("time").alias("weekday")).agg(
         F.count_distinct("user_id").alias("paying_users"))
-    return _dbl(daily.star(t1, t2, t3, on="weekday"), "revenue")
+    return _dbl(daily.star(sales, users, payers, on="weekday"), "revenue")
 
 
 def first_day_revenue_join(s, d):
     shop = _shop(s, d)
     cancelled = _cancelled(shop)
     prices = daily.order_price(facts.order_lines(shop, cancelled))
-    t5 = daily.first_days(shop.user_actions).alias("t5")
-    t6 = daily.user_day_revenue(shop.user_actions, cancelled, prices).alias("t6")
-    j = t5.join(t6, (F.col("t5.user_id") == F.col("t6.user_id"))
-                & (F.col("t5.start_date") == F.col("t6.dt")), "left")
-    return j.select(F.col("t5.user_id").alias("user_id"), F.col("t5.start_date").alias("start_date"),
-                    out_num(F.coalesce(F.col("t6.revenue"), F.lit(0).cast(MONEY_SUM)))
+    starts = daily.first_days(shop.user_actions).alias("s")
+    spent = daily.user_day_revenue(shop.user_actions, cancelled, prices).alias("r")
+    j = starts.join(spent, (F.col("s.user_id") == F.col("r.user_id"))
+                    & (F.col("s.start_date") == F.col("r.dt")), "left")
+    return j.select(F.col("s.user_id").alias("user_id"), F.col("s.start_date").alias("start_date"),
+                    out_num(F.coalesce(F.col("r.revenue"), F.lit(0).cast(MONEY_SUM)))
                     .alias("revenue"))
 
 

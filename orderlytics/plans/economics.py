@@ -82,13 +82,13 @@ def e4_weekday_arpu(shop: Shop, window: tuple = WEEKDAY_WINDOW) -> DataFrame:
     orders_in = facts.valid(shop.order_headers().filter(in_window("creation_time")), cancelled)
     lines = facts.with_products(
         orders_in.join(facts.order_items(shop), "order_id"), shop.products)
-    t1 = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
+    sales = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
         F.max(iso_dow("creation_time")).alias("weekday_number"),
         F.count_distinct("order_id").alias("orders"),
         money_total("price").alias("revenue"))
     acts = shop.user_actions.filter(in_window("time"))
     users = daily.users_and_payers(acts, cancelled, day_name("time"))
-    t = daily.star(t1, users.withColumnRenamed("_k", "weekday"), on="weekday")
+    t = daily.star(sales, users.withColumnRenamed("_k", "weekday"), on="weekday")
     return t.select(
         "weekday", "weekday_number",
         out_num(ratio("revenue", "users")).alias("arpu"),
@@ -140,16 +140,17 @@ def e7_gross_profit(shop: Shop, vat: VatRule = VatRule(), model: CostModel = Cos
     day, deliveries and courier bonuses by delivery day."""
     cancelled = facts.cancelled_orders(shop.user_actions)
     lines = costs.line_vat(facts.order_lines(shop, cancelled), vat)
-    t3 = lines.groupBy(day("creation_time").alias("dt")).agg(
+    sales = lines.groupBy(day("creation_time").alias("dt")).agg(
         F.count_distinct("order_id").alias("orders_packed"),
         money_total("price").alias("revenue"),
         money_total("tax").alias("tax"))
-    t7 = daily.star(t3,
-                    daily.delivered_orders(shop.courier_actions, cancelled),
-                    daily.bonus_couriers(shop.courier_actions, cancelled, model.bonus_min_orders))
-    t7 = t7.select("dt", "revenue", costs.daily_costs(t7, model).alias("costs"), "tax")
+    counts = daily.star(sales,
+                        daily.delivered_orders(shop.courier_actions, cancelled),
+                        daily.bonus_couriers(shop.courier_actions, cancelled,
+                                             model.bonus_min_orders))
+    days = counts.select("dt", "revenue", costs.daily_costs(counts, model).alias("costs"), "tax")
     gp = (F.col("revenue") - F.col("costs") - F.col("tax")).cast("decimal(20,2)")
-    t8 = t7.select(
+    totals = days.select(
         "dt", "revenue", "costs", "tax", gp.alias("gross_profit"),
         windows.running_sum("revenue").alias("total_revenue"),
         windows.running_sum("costs").alias("total_costs"),
@@ -157,7 +158,7 @@ def e7_gross_profit(shop: Shop, vat: VatRule = VatRule(), model: CostModel = Cos
         windows.running_sum(gp).alias("total_gross_profit"))
     money_cols = ["revenue", "costs", "tax", "gross_profit", "total_revenue", "total_costs",
                   "total_tax", "total_gross_profit"]
-    return t8.select(
+    return totals.select(
         "dt", *[out_num(c).alias(c) for c in money_cols],
         out_num(percent("gross_profit", "revenue")).alias("gross_profit_ratio"),
         out_num(percent("total_gross_profit", "total_revenue")).alias("total_gross_profit_ratio"))
