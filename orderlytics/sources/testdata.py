@@ -131,23 +131,37 @@ def activity(spark, sf_dir) -> DataFrame:
         F.col("event_type").alias("action"), F.col("ts").alias("time"))
 
 
+_SHOPS: dict = {}
+
+
 def shop(spark: SparkSession, sf_dir: str, normalised: bool = True) -> Shop:
     """The canonical shop over the test tables. ``normalised`` hands the order
-    lines over as items (no array round trip); False exercises the nested path."""
-    return Shop.from_tables(
-        user_actions(spark, sf_dir),
-        order_headers(spark, sf_dir) if normalised else orders(spark, sf_dir),
-        products(spark, sf_dir),
-        courier_actions(spark, sf_dir),
-        order_items(spark, sf_dir) if normalised else None,
-    )
+    lines over as items (no array round trip); False exercises the nested path.
+
+    A shop is a set of lazy, immutable DataFrames, so one is built per session
+    and folder and shared by every metric (as a user builds it once and asks
+    many questions): the file listing and plan analysis of the base tables is
+    not repeated for each query."""
+    key = (spark, sf_dir, normalised)
+    if key not in _SHOPS:
+        _SHOPS[key] = Shop.from_tables(
+            user_actions(spark, sf_dir),
+            order_headers(spark, sf_dir) if normalised else orders(spark, sf_dir),
+            products(spark, sf_dir),
+            courier_actions(spark, sf_dir),
+            order_items(spark, sf_dir) if normalised else None,
+        )
+    return _SHOPS[key]
 
 
 def activity_shop(spark: SparkSession, sf_dir: str) -> Shop:
     """The shop whose action log is ``events`` (for the retention metrics)."""
-    base = shop(spark, sf_dir)
-    return Shop(activity(spark, sf_dir), base.orders, base.products, base.courier_actions,
-                base.order_items)
+    key = (spark, sf_dir, "activity")
+    if key not in _SHOPS:
+        base = shop(spark, sf_dir)
+        _SHOPS[key] = Shop(activity(spark, sf_dir), base.orders, base.products,
+                           base.courier_actions, base.order_items)
+    return _SHOPS[key]
 
 
 def campaigns() -> Campaigns:
