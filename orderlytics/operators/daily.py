@@ -64,6 +64,31 @@ def first_days(user_actions: DataFrame) -> DataFrame:
     return user_actions.groupBy("user_id").agg(F.min(day("time")).alias("start_date"))
 
 
+def first_and_paid_days(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """user_id, start_date, paid_date: the first day a user did anything and the
+    first day they acted on a valid order, from one aggregate over the actions
+    (each action flagged by a left join to the cancelled ids)."""
+    flagged = (user_actions
+               .join(cancelled.withColumn("_cancelled", F.lit(True)), "order_id", "left")
+               .select("user_id", day("time").alias("dt"),
+                       (F.col("order_id").isNotNull() & F.col("_cancelled").isNull())
+                       .alias("_valid")))
+    return flagged.groupBy("user_id").agg(
+        F.min("dt").alias("start_date"),
+        F.min(F.when(F.col("_valid"), F.col("dt"))).alias("paid_date"))
+
+
+def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """dt, new_users, new_paying_users (outer-joined by day), both read from the
+    shuffle of one per-user aggregate."""
+    firsts = first_and_paid_days(user_actions, cancelled)
+    new = firsts.groupBy(F.col("start_date").alias("dt")).agg(F.count("user_id").alias("new_users"))
+    paid = (firsts.filter(F.col("paid_date").isNotNull())
+            .groupBy(F.col("paid_date").alias("dt"))
+            .agg(F.count("user_id").alias("new_paying_users")))
+    return new.join(paid, "dt", "full")
+
+
 def daily_new_users(user_actions: DataFrame, name: str = "new_users") -> DataFrame:
     """dt, new_users: users whose first action falls on that day."""
     return (first_days(user_actions)
@@ -123,6 +148,24 @@ def bonus_couriers(courier_actions: DataFrame, cancelled: DataFrame,
     return per_courier.groupBy("dt").agg(F.count("courier_id").alias("couriers_count"))
 
 
+def daily_deliveries(courier_actions: DataFrame, cancelled: DataFrame,
+                     min_orders: int) -> DataFrame:
+    """dt, orders_delivered, couriers_count (outer-joined by day). Valid
+    deliveries are reduced once to distinct (day, courier, order); both counts
+    are read from that one shuffle."""
+    per_courier_order = (valid(courier_actions, cancelled)
+                         .filter(F.col("action") == DELIVER)
+                         .select(day("time").alias("dt"), "courier_id", "order_id")
+                         .distinct())
+    delivered = per_courier_order.groupBy("dt").agg(
+        F.count_distinct("order_id").alias("orders_delivered"))
+    busy = (per_courier_order.groupBy("dt", "courier_id")
+            .agg(F.count("order_id").alias("n"))
+            .filter(F.col("n") >= min_orders)
+            .groupBy("dt").agg(F.count("courier_id").alias("couriers_count")))
+    return delivered.join(busy, "dt", "full")
+
+
 def star(base: DataFrame, *others: DataFrame, on: str = "dt") -> DataFrame:
     """``base LEFT JOIN o1 USING (on) LEFT JOIN o2 USING (on) ...``. The inputs
     are per-day aggregates (one row per day), so these joins are small; AQE

@@ -62,9 +62,7 @@ def e3_running_arpu(shop: Shop) -> DataFrame:
     new users, new paying users and orders. Users who start on a day without
     revenue never enter the running counts (the series is the revenue days)."""
     cancelled, base = _day_kpis(shop)
-    t = daily.star(base,
-                   daily.daily_new_users(shop.user_actions),
-                   daily.daily_new_paying_users(shop.user_actions, cancelled))
+    t = daily.star(base, daily.daily_new_users_and_payers(shop.user_actions, cancelled))
     rev = windows.running_sum("revenue")
     return t.select(
         "dt",
@@ -144,10 +142,8 @@ def e7_gross_profit(shop: Shop, vat: VatRule = VatRule(), model: CostModel = Cos
         F.count_distinct("order_id").alias("orders_packed"),
         money_total("price").alias("revenue"),
         money_total("tax").alias("tax"))
-    counts = daily.star(sales,
-                        daily.delivered_orders(shop.courier_actions, cancelled),
-                        daily.bonus_couriers(shop.courier_actions, cancelled,
-                                             model.bonus_min_orders))
+    counts = daily.star(sales, daily.daily_deliveries(shop.courier_actions, cancelled,
+                                                      model.bonus_min_orders))
     days = counts.select("dt", "revenue", costs.daily_costs(counts, model).alias("costs"), "tax")
     gp = (F.col("revenue") - F.col("costs") - F.col("tax")).cast("decimal(20,2)")
     totals = days.select(
