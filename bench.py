@@ -5,7 +5,9 @@
 Each query is fully executed with the ``noop`` sink (every row is produced, none
 is collected to the driver). After one untimed warm-up of the JVM, each query
 is timed ``BENCH_REPEAT`` times (default 3) and the best run is kept.
-Prints one JSON line; ``value`` is the sum of the per-query times.
+Prints one JSON line; ``value`` is the sum of the per-query times, and
+``dashboard_refresh_sec`` the time to prepare the shared lines once and then
+produce all thirteen metrics from them (``plans.dashboard``).
 With ``BENCH_DUCKDB=1`` the same metrics are also timed as single-node SQL
 (the oracle) and reported under ``single_node_sql``.
 """
@@ -53,12 +55,29 @@ def main():
             dt = time.perf_counter() - t0
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
+
+    # The dashboard path: prepare the shared lines once, then all 13 metrics.
+    from orderlytics.plans import dashboard
+    from orderlytics.sources import testdata as td
+    best = None
+    for i in range(repeat):
+        t0 = time.perf_counter()
+        shop = dashboard.prepare(td.shop(spark, sf_dir), f"{scratch}/prepared-{i}")
+        metrics = dashboard.refresh(
+            shop, td.campaigns(), activity=td.activity_shop(spark, sf_dir),
+            first_week=td.FIRST_WEEK, weekday_window=td.WEEKDAY_WINDOW, folding=td.folding(),
+            vat=td.vat_rule(), costs=td.cost_model())
+        for df in metrics.values():
+            df.write.format("noop").mode("overwrite").save()
+        dt = time.perf_counter() - t0
+        best = dt if best is None else min(best, dt)
+    dashboard_sec = round(best, 3)
     spark.stop()
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "metric_suite_wall_time", "value": round(sum(times.values()), 3),
            "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-           "cpus": cpus}
+           "cpus": cpus, "dashboard_refresh_sec": dashboard_sec}
     if os.environ.get("BENCH_DUCKDB") == "1":
         from orderlytics.plans import verify
         con = verify.duck(sf_dir)

@@ -38,6 +38,13 @@ def cancelled_orders(user_actions: DataFrame) -> DataFrame:
             .distinct())
 
 
+def cancelled_of(shop: Shop) -> DataFrame:
+    """The shop's cancelled order ids (prepared once if the shop was prepared)."""
+    if shop.cancelled_ids is not None:
+        return shop.cancelled_ids
+    return cancelled_orders(shop.user_actions)
+
+
 def without_cancelled(df: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Rows whose order was never cancelled; rows without an order id stay.
     Equal to filtering ``is_canceled = 0`` on the window cancel flag."""
@@ -51,7 +58,7 @@ def valid(df: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def valid_orders(shop: Shop, cancelled: DataFrame | None = None) -> DataFrame:
-    cancelled = cancelled_orders(shop.user_actions) if cancelled is None else cancelled
+    cancelled = cancelled_of(shop) if cancelled is None else cancelled
     return valid(shop.orders, cancelled)
 
 
@@ -99,8 +106,11 @@ def with_products(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def order_lines(shop: Shop, cancelled: DataFrame | None = None) -> DataFrame:
-    """order_id, creation_time, product_id, name, price for lines of valid orders."""
-    cancelled = cancelled_orders(shop.user_actions) if cancelled is None else cancelled
+    """order_id, creation_time, product_id, name, price for lines of valid orders
+    (read from the prepared table when the shop was prepared)."""
+    if shop.priced_lines is not None and (cancelled is None or cancelled is shop.cancelled_ids):
+        return shop.priced_lines
+    cancelled = cancelled_of(shop) if cancelled is None else cancelled
     return with_products(valid_items(shop, cancelled), shop.products)
 
 
@@ -123,7 +133,7 @@ def campaign_actions(shop: Shop, campaigns: Campaigns, cancelled: DataFrame | No
     """Actions of campaign users on never-cancelled orders, optionally within a
     ``[start, end)`` date window on the action day. The cancel test looks at
     all time: a cancellation after the window still excludes the order."""
-    cancelled = cancelled_orders(shop.user_actions) if cancelled is None else cancelled
+    cancelled = cancelled_of(shop) if cancelled is None else cancelled
     actions = shop.user_actions
     if window is not None:
         start, end = window
@@ -142,6 +152,10 @@ def campaign_order_lines(shop: Shop, campaigns: Campaigns, cancelled: DataFrame
     orders without lines keep one row with NULL product and price."""
     acts = campaign_actions(shop, campaigns, cancelled, window).select(
         "ads_campaign", "user_id", "order_id", "time")
+    if shop.priced_lines is not None and (cancelled is None or cancelled is shop.cancelled_ids):
+        # The actions only touch never-cancelled orders, whose priced lines are prepared.
+        priced = shop.priced_lines.select("order_id", "product_id", "price")
+        return acts.join(priced, "order_id", "left")
     lines = acts.join(order_items(shop), "order_id", "left")
     return with_products(lines, shop.products.select("product_id", "price"))
 

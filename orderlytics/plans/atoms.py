@@ -28,7 +28,7 @@ def _shop(s, d):
 
 
 def _cancelled(shop):
-    return facts.cancelled_orders(shop.user_actions)
+    return facts.cancelled_of(shop)
 
 
 def _lines(shop):

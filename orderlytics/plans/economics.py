@@ -39,7 +39,7 @@ def e1_daily_revenue(shop: Shop) -> DataFrame:
 
 
 def _day_kpis(shop: Shop):
-    cancelled = facts.cancelled_orders(shop.user_actions)
+    cancelled = facts.cancelled_of(shop)
     lines = facts.order_lines(shop, cancelled)
     return cancelled, daily.daily_orders_revenue(lines)
 
@@ -75,11 +75,11 @@ def e4_weekday_arpu(shop: Shop, window: tuple = WEEKDAY_WINDOW) -> DataFrame:
     """weekday, weekday_number, arpu, arppu, aov over ``[start, end)`` on raw
     timestamps. Users are distinct over the whole window per weekday."""
     start, end = window
-    cancelled = facts.cancelled_orders(shop.user_actions)
+    cancelled = facts.cancelled_of(shop)
     in_window = lambda c: (F.col(c) >= _ts(start)) & (F.col(c) < _ts(end))
-    orders_in = facts.valid(shop.order_headers().filter(in_window("creation_time")), cancelled)
-    lines = facts.with_products(
-        orders_in.join(facts.order_items(shop), "order_id"), shop.products)
+    # The window filter on creation time reaches the orders scan (or the prepared
+    # lines' Parquet scan) through the joins.
+    lines = facts.order_lines(shop, cancelled).filter(in_window("creation_time"))
     sales = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
         F.max(iso_dow("creation_time")).alias("weekday_number"),
         F.count_distinct("order_id").alias("orders"),
@@ -99,7 +99,7 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
     """dt, revenue, new_users_revenue, new_users_revenue_share,
     old_users_revenue_share. Revenue is by order creation day; new users'
     revenue by their action day (the two clocks of the metric)."""
-    cancelled = facts.cancelled_orders(shop.user_actions)
+    cancelled = facts.cancelled_of(shop)
     lines = facts.order_lines(shop, cancelled)
     # One pass over the lines: per order its price and creation day (partitioned
     # by order id, ready for the join to the actions); daily revenue from it.
@@ -136,7 +136,7 @@ def e7_gross_profit(shop: Shop, vat: VatRule = VatRule(), model: CostModel = Cos
     """dt, revenue, costs, tax, gross_profit, running totals of the four, and the
     daily and running gross-profit ratios. Packing is counted by order creation
     day, deliveries and courier bonuses by delivery day."""
-    cancelled = facts.cancelled_orders(shop.user_actions)
+    cancelled = facts.cancelled_of(shop)
     lines = costs.line_vat(facts.order_lines(shop, cancelled), vat)
     sales = lines.groupBy(day("creation_time").alias("dt")).agg(
         F.count_distinct("order_id").alias("orders_packed"),

@@ -72,6 +72,10 @@ class Shop:
     products: DataFrame
     courier_actions: DataFrame | None = None
     order_items: DataFrame | None = None
+    # Set by ``plans.dashboard.prepare``: the cancelled order ids and the priced
+    # lines of valid orders, materialised once and shared by every metric.
+    cancelled_ids: DataFrame | None = None
+    priced_lines: DataFrame | None = None
 
     @classmethod
     def from_tables(cls, user_actions, orders, products, courier_actions=None, order_items=None):

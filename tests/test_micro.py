@@ -196,3 +196,15 @@ def test_day_name_and_iso_dow(spark):
     r = df.select(day_name("t").alias("a"), day_name("t", padded=False).alias("b"),
                   iso_dow("t").alias("c"), F.lit(1).alias("z")).first()
     assert (r.a, r.b, r.c) == ("Sunday   ", "Sunday", 7)
+
+
+def test_actions_without_order_id(spark):
+    shop = micro_shop(
+        spark,
+        [(1, None, "open_app", ts(1)), (2, 1, C, ts(1))],
+        [(1, ts(1), [1])], [(1, "a", 10)])
+    # the window cancel flag keeps an action without order: user 1 counts for CAC
+    c = campaigns(spark, [(1, 1), (1, 2)])
+    assert rows(M.m1_cac(shop, c)) == [("C1", 50.0)]
+    # ... and is an active user but not a paying one (NOT IN drops a NULL id)
+    assert rows(E.e2_arpu_arppu_aov(shop)) == [(D(2022, 9, 1), 5.0, 10.0, 10.0)]
