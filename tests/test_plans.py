@@ -47,3 +47,53 @@ def test_only_needed_columns_are_read(spark):
 def test_cancelled_ids_are_not_a_null_aware_anti_join(spark):
     p = plan(QUERIES["e7_gross_profit"](spark, SF_SMALL))
     assert "LeftAnti" in p and "isNullAware" not in p.replace("isNullAware=false", "")
+
+
+AGG = ("HashAggregate", "ObjectHashAggregate", "SortAggregate")
+PASS_THROUGH = ("Project", "Filter", "BroadcastHashJoin", "Sort", "Window", "Union",
+                "Generate", "SortMergeJoin", "ShuffledHashJoin", "Exchange", "AQEShuffleRead")
+
+
+def _tree(plan_text: str):
+    nodes = []
+    for line in plan_text.splitlines():
+        i = next((k for k, ch in enumerate(line) if ch.isalpha()), None)
+        if i is not None:
+            nodes.append((i // 3, line[i:]))
+    return nodes
+
+
+def _reduced_below(nodes, at: int) -> bool:
+    """Following the first child down from ``at``, an aggregate comes before a scan."""
+    depth = nodes[at][0]
+    for d, text in nodes[at + 1:]:
+        if d <= depth:
+            return False
+        if text.startswith(AGG):
+            return True
+        if not text.startswith(PASS_THROUGH):
+            return False
+        depth = d
+    return False
+
+
+@pytest.mark.parametrize("name", sorted(oracle.METRICS))
+def test_no_raw_rows_reach_a_single_key_task(spark, name):
+    """Every exchange that feeds an aggregate or a window carries rows that were
+    already aggregated (partial aggregation or a reduced series), so a key that
+    holds a third of the data is combined map-side before its shuffle."""
+    nodes = _tree(QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString())
+    for i, (d, text) in enumerate(nodes):
+        if not text.startswith("Exchange"):
+            continue
+        parent = next((t for pd, t in reversed(nodes[:i]) if pd < d), "")
+        if parent.startswith("Sort"):
+            j = next(k for k in range(i - 1, -1, -1) if nodes[k][1] == parent)
+            parent = next((t for pd, t in reversed(nodes[:j]) if pd < nodes[j][0]), "")
+        if parent.startswith(AGG + ("Window",)):
+            assert _reduced_below(nodes, i), (name, text)
+
+
+def test_skew_join_split_is_on(spark):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
