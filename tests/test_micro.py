@@ -208,3 +208,16 @@ def test_actions_without_order_id(spark):
     assert rows(M.m1_cac(shop, c)) == [("C1", 50.0)]
     # ... and is an active user but not a paying one (NOT IN drops a NULL id)
     assert rows(E.e2_arpu_arppu_aov(shop)) == [(D(2022, 9, 1), 5.0, 10.0, 10.0)]
+
+
+def test_free_product_alone_on_a_day(spark):
+    shop = micro_shop(
+        spark,
+        [(1, 1, C, ts(1)), (1, 2, C, ts(2))],
+        [(1, ts(1), [1]), (2, ts(2), [2])],
+        [(1, "free", 0), (2, "paid", 4)])
+    e1 = rows(E.e1_daily_revenue(shop), "dt", "revenue", "revenue_change")
+    # day 2 grows from 0: the change has a zero denominator -> NULL, not an error
+    assert e1 == [(D(2022, 9, 1), 0.0, None), (D(2022, 9, 2), 4.0, None)]
+    e7 = {r["dt"]: r for r in E.e7_gross_profit(shop, VatRule(reduced=[]), CostModel()).collect()}
+    assert e7[D(2022, 9, 1)]["gross_profit_ratio"] is None
