@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlytics.functions import (MONEY_SUM, day, day_name, day_number, iso_dow, label,
-                                   money_total, month_start, out_num, percent, ratio, round2)
+                                   money_total, month_start, out_num, ratio, round2)
 from orderlytics.operators import cohorts, costs, daily, facts, shares, windows
 from orderlytics.plans import oracle as o
 from orderlytics.sources import testdata as td
@@ -642,5 +642,3 @@ def oracle_sql() -> dict:
     from orderlytics.plans.atoms_oracle import ORACLE
     return {k: o.with_roles(v) for k, v in ORACLE.items()}
 
-
-__all__ = ["queries", "oracle_sql", "percent"]
