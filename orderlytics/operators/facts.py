@@ -90,6 +90,14 @@ def order_items(shop: Shop) -> DataFrame:
     return shop.orders.select("order_id", F.explode("product_ids").alias("product_id"))
 
 
+def existing_order_items(shop: Shop) -> DataFrame:
+    """order_id, product_id of the lines of orders present in ``orders`` (a line
+    exists only inside an order; normalised items of unknown orders are dropped)."""
+    if shop.order_items is None:
+        return order_items(shop)
+    return shop.order_headers().select("order_id").join(shop.order_items, "order_id")
+
+
 def valid_items(shop: Shop, cancelled: DataFrame) -> DataFrame:
     """order_id, creation_time, product_id of the lines of valid orders.
     Orders with a NULL or empty product list contribute no line."""

@@ -139,7 +139,7 @@ def order_to_lines_left(s, d):
 
 def lines_to_products_left(s, d):
     shop = _shop(s, d)
-    return _dbl(facts.with_products(facts.order_items(shop), shop.products), "price")
+    return _dbl(facts.with_products(facts.existing_order_items(shop), shop.products), "price")
 
 
 def _day_star(shop):
