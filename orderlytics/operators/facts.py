@@ -62,19 +62,24 @@ def valid_orders(shop: Shop, cancelled: DataFrame | None = None) -> DataFrame:
     return valid(shop.orders, cancelled)
 
 
-def count_where_over(df: DataFrame, keys: Sequence[str], predicate: Column, name: str,
-                     value: str | None = None) -> DataFrame:
-    """``COUNT(value) FILTER (WHERE predicate) OVER (PARTITION BY keys)``.
+def aggregate_over(df: DataFrame, keys: Sequence[str], agg: Column, name: str) -> DataFrame:
+    """``agg OVER (PARTITION BY keys)`` added to every row as ``name``.
 
     Written as a partial aggregate joined back on the keys rather than a window:
     a window puts every row of one key in one task, while the aggregate combines
-    map-side and the join lets AQE split a hot key. Rows with NULL keys form one
-    group, as in a window partition."""
-    counted = F.when(predicate, F.col(value) if value else F.lit(1))
-    counts = df.groupBy(*keys).agg(F.count(counted).alias(name)).alias("__c")
+    map-side and the join lets AQE split a hot key. The join is null-safe, so
+    rows with NULL keys form one group, as they do in a window partition."""
+    per_key = df.groupBy(*keys).agg(agg.alias(name)).alias("__g")
     rows = df.alias("__r")
-    cond = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__c.{k}")) for k in keys]
-    return rows.join(counts, cond, "left").select("__r.*", F.col(f"__c.{name}"))
+    cond = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__g.{k}")) for k in keys]
+    return rows.join(per_key, cond, "left").select("__r.*", F.col(f"__g.{name}"))
+
+
+def count_where_over(df: DataFrame, keys: Sequence[str], predicate: Column, name: str,
+                     value: str | None = None) -> DataFrame:
+    """``COUNT(value) FILTER (WHERE predicate) OVER (PARTITION BY keys)``."""
+    counted = F.when(predicate, F.col(value) if value else F.lit(1))
+    return aggregate_over(df, keys, F.count(counted), name)
 
 
 def cancel_flag(user_actions: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def scan_orders(s, d):
     normalised lines with map-side partial aggregation."""
     shop = _shop(s, d)
     per_order = facts.order_items(shop).groupBy("order_id").agg(
-        F.count("product_id").alias("n_items"), F.sum("product_id").alias("items_sum"))
+        F.count(F.lit(1)).alias("n_items"), F.sum("product_id").alias("items_sum"))
     return shop.order_headers().join(per_order, "order_id", "left")
 
 
@@ -289,21 +289,20 @@ def win_filtered_count(s, d):
 
 def win_min(s, d):
     ua = _shop(s, d).user_actions
-    starts = daily.first_days(ua)
-    return ua.select("user_id", day("time").alias("dt")).join(starts, "user_id")
+    rows = ua.select("user_id", day("time").alias("dt"))
+    return facts.aggregate_over(rows, ["user_id"], F.min("dt"), "start_date")
 
 
 def win_min_two_keys(s, d):
     acts = facts.tag_campaign(td.activity(s, d).select("user_id", "time"), td.campaigns())
     rows = acts.select("ads_campaign", "user_id", day("time").alias("dt"))
-    starts = rows.groupBy("ads_campaign", "user_id").agg(F.min("dt").alias("start_date"))
-    return rows.join(starts, ["ads_campaign", "user_id"])
+    return facts.aggregate_over(rows, ["ads_campaign", "user_id"], F.min("dt"), "start_date")
 
 
 def win_max_ratio(s, d):
-    per = _deliveries_per_courier(_shop(s, d))
-    best = per.groupBy("dt").agg(F.max("orders_delivered").alias("best"))
-    return per.join(best, "dt").select(
+    per = facts.aggregate_over(_deliveries_per_courier(_shop(s, d)), ["dt"],
+                               F.max("orders_delivered"), "best")
+    return per.select(
         "dt", "courier_id", out_num(ratio("orders_delivered", "best")).alias("of_best"))
 
 
@@ -383,10 +382,10 @@ def fn_month_start(s, d):
 
 
 def fn_day_number(s, d):
-    ua = _shop(s, d).user_actions
-    starts = daily.first_days(ua)
-    return ua.join(starts, "user_id").select(
-        "user_id", "order_id", day_number(day("time"), "start_date").alias("day_number"))
+    rows = _shop(s, d).user_actions.select("user_id", "order_id", day("time").alias("dt"))
+    with_start = facts.aggregate_over(rows, ["user_id"], F.min("dt"), "start_date")
+    return with_start.select(
+        "user_id", "order_id", day_number("dt", "start_date").alias("day_number"))
 
 
 def fn_month(s, d):

@@ -76,11 +76,16 @@ def orders(spark, sf_dir) -> DataFrame:
     """The nested orders role with one array per order (test fixture for the
     nested contract). The array of an order is as large as the order, so no
     registered query builds it; they read ``order_items`` instead."""
-    items = order_items(spark, sf_dir).groupBy("order_id").agg(
-        F.collect_list("product_id").alias("product_ids"))
+    items = order_items(spark, sf_dir).groupBy("order_id").agg(_id_list().alias("product_ids"))
     return order_headers(spark, sf_dir).join(items, "order_id", "left")
 
 
+def _id_list():
+    """collect_list of product ids that keeps NULL ids (collect_list skips NULL
+    values, so each id travels inside a struct and is taken out again)."""
+    return F.transform(F.collect_list(F.struct("product_id")), lambda x: x["product_id"])
+
+
 def order_fragments(spark, sf_dir, max_items: int = 64) -> DataFrame:
     """Nested order lines in fragments of at most ``max_items`` products:
     order_id, creation_time, product_ids. Lines are grouped by order and by a
@@ -90,7 +95,7 @@ def order_fragments(spark, sf_dir, max_items: int = 64) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
         (F.monotonically_increasing_id() / F.lit(max_items)).cast("bigint").alias("block"))
-    frags = li.groupBy("order_id", "block").agg(F.collect_list("product_id").alias("product_ids"))
+    frags = li.groupBy("order_id", "block").agg(_id_list().alias("product_ids"))
     return order_headers(spark, sf_dir).join(frags, "order_id").drop("block")
 
 

@@ -2,7 +2,8 @@
 skewed and awkward data: one customer with a third of all orders, one day
 with a third of all orders, a hot product, products missing from the catalogue,
 lines of orders that do not exist, orders without lines, free products,
-repeated product names, one very active event user."""
+repeated product names, one very active event user; and a variant with NULLs
+in every nullable raw column."""
 
 from __future__ import annotations
 
@@ -31,16 +32,23 @@ def _times(rng, n, hot_share):
     return [b + dt.timedelta(minutes=int(m)) for b, m in zip(base, minutes)]
 
 
-def make_tables(seed: int, folder: str) -> str:
+def _nulls(rng, values, share, type_):
+    """An arrow array with about ``share`` of the entries set to NULL."""
+    mask = rng.random(len(values)) < share if share else None
+    return pa.array(list(values), type_, mask=mask)
+
+
+def make_tables(seed: int, folder: str, null_share: float = 0.0) -> str:
     rng = np.random.default_rng(seed)
+    ns = null_share
     n_orders, n_parts, n_users = 900, 60, 120
     keys = rng.choice(np.arange(1, 20 * n_orders), n_orders, replace=False)
     cust = rng.integers(0, n_users, n_orders)
     cust[rng.random(n_orders) < 1 / 3] = 7                       # a third of orders: user 7
     orders = pa.table({
         "o_orderkey": pa.array(keys, pa.int64()),
-        "o_custkey": pa.array(cust, pa.int64()),
-        "o_orderdate": pa.array(_times(rng, n_orders, 1 / 3), pa.timestamp("us")),
+        "o_custkey": _nulls(rng, cust, ns, pa.int64()),
+        "o_orderdate": _nulls(rng, _times(rng, n_orders, 1 / 3), ns / 2, pa.timestamp("us")),
     })
     with_lines = keys[rng.random(n_orders) > 0.05]                # some orders have no lines
     n_lines = 4000
@@ -50,17 +58,17 @@ def make_tables(seed: int, folder: str) -> str:
     l_part[rng.random(n_lines) < 1 / 3] = 3                      # a third of lines: product 3
     lineitem = pa.table({
         "l_orderkey": pa.array(l_order, pa.int64()),
-        "l_partkey": pa.array(l_part, pa.int64()),
-        "l_suppkey": pa.array(rng.integers(0, 12, n_lines), pa.int64()),
-        "l_returnflag": pa.array(rng.choice(["A", "N", "R"], n_lines)),
-        "l_shipdate": pa.array(_times(rng, n_lines, 0.2), pa.timestamp("us")),
+        "l_partkey": _nulls(rng, l_part, ns, pa.int64()),
+        "l_suppkey": _nulls(rng, rng.integers(0, 12, n_lines), ns, pa.int64()),
+        "l_returnflag": _nulls(rng, rng.choice(["A", "N", "R"], n_lines), ns, pa.string()),
+        "l_shipdate": _nulls(rng, _times(rng, n_lines, 0.2), ns / 2, pa.timestamp("us")),
     })
     cents = rng.integers(0, 50000, n_parts)
     cents[:3] = 0                                                 # free products
     part = pa.table({
         "p_partkey": pa.array(np.arange(1, n_parts + 1), pa.int64()),
-        "p_name": pa.array(rng.choice(NAMES, n_parts)),
-        "p_retailprice": pa.array(cents / 100.0, pa.float64()),
+        "p_name": _nulls(rng, rng.choice(NAMES, n_parts), ns * 2, pa.string()),
+        "p_retailprice": _nulls(rng, cents / 100.0, ns * 2, pa.float64()),
     })
     n_events = 3000
     users = rng.integers(0, n_users, n_events)
@@ -69,8 +77,8 @@ def make_tables(seed: int, folder: str) -> str:
                 zip(rng.integers(0, 20, n_events), rng.integers(0, 1440, n_events))]
     events = pa.table({
         "event_id": pa.array(np.arange(n_events), pa.int64()),
-        "ts": pa.array(ev_times, pa.timestamp("us")),
-        "user_id": pa.array(users, pa.int64()),
+        "ts": _nulls(rng, ev_times, ns / 2, pa.timestamp("us")),
+        "user_id": _nulls(rng, users, ns, pa.int64()),
         "event_type": pa.array(rng.choice(["view", "click", "purchase"], n_events)),
     })
     for name, table in {"orders": orders, "lineitem": lineitem, "part": part,
@@ -83,9 +91,11 @@ QUERIES = registry.queries()
 ORACLE = registry.oracle_sql()
 
 
-@pytest.fixture(scope="module", params=[11, 29])
+@pytest.fixture(scope="module", params=[(11, 0.0), (29, 0.0), (47, 0.03)],
+                ids=["skewed-a", "skewed-b", "with-nulls"])
 def fuzz_dir(request):
-    folder = make_tables(request.param, tempfile.mkdtemp(prefix="fuzz-", dir="/tmp"))
+    seed, null_share = request.param
+    folder = make_tables(seed, tempfile.mkdtemp(prefix="fuzz-", dir="/tmp"), null_share)
     con = duckdb.connect()
     for t in ("orders", "lineitem", "part", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
