@@ -169,8 +169,22 @@ def campaign_order_lines(shop: Shop, campaigns: Campaigns, cancelled: DataFrame
         # The actions only touch never-cancelled orders, whose priced lines are prepared.
         priced = shop.priced_lines.select("order_id", "product_id", "price")
         return acts.join(priced, "order_id", "left")
-    lines = acts.join(order_items(shop), "order_id", "left")
-    return with_products(lines, shop.products.select("product_id", "price"))
+    return with_products(lines_of_actions(shop, acts), shop.products.select("product_id", "price"))
+
+
+def lines_of_actions(shop: Shop, acts: DataFrame) -> DataFrame:
+    """``acts LEFT JOIN (order lines) USING (order_id)``, the lines taken from the
+    orders table: an action of an order without lines, or of an order missing
+    from ``orders``, keeps one row with a NULL product; an order listed twice
+    gives its lines twice. With normalised items the lines are reached through
+    the order rows (all joins on the order id, so one partitioning serves them)."""
+    if shop.order_items is None:
+        return acts.join(order_items(shop), "order_id", "left")
+    ids = shop.order_headers().select(F.col("order_id").alias("_order_row"))
+    items = shop.order_items.select(F.col("order_id").alias("_item_order"), "product_id")
+    return (acts.join(ids, F.col("order_id") == F.col("_order_row"), "left")
+            .join(items, F.col("_order_row") == F.col("_item_order"), "left")
+            .drop("_order_row", "_item_order"))
 
 
 def action_days(user_actions: DataFrame) -> DataFrame:

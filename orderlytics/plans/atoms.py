@@ -134,7 +134,7 @@ def cancel_flag_filter(s, d):
 def order_to_lines_left(s, d):
     shop = _shop(s, d)
     acts = facts.campaign_actions(shop, td.campaigns()).select("ads_campaign", "user_id", "order_id")
-    return acts.join(facts.order_items(shop), "order_id", "left")
+    return facts.lines_of_actions(shop, acts)
 
 
 def lines_to_products_left(s, d):

@@ -101,12 +101,12 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
     revenue by their action day (the two clocks of the metric)."""
     cancelled = facts.cancelled_of(shop)
     lines = facts.order_lines(shop, cancelled)
-    # One pass over the lines: per order its price and creation day (partitioned
-    # by order id, ready for the join to the actions); daily revenue from it.
-    per_order = lines.groupBy("order_id").agg(
-        F.max(day("creation_time")).alias("dt"), money_total("price").alias("order_price"))
-    total = per_order.groupBy("dt").agg(money_total("order_price").alias("revenue"))
-    prices = per_order.select("order_id", "order_price")
+    # One pass over the lines, reduced per (order, creation day); daily revenue
+    # and each order's price are both read from that aggregate's shuffle.
+    per_order_day = lines.groupBy("order_id", day("creation_time").alias("dt")).agg(
+        money_total("price").alias("order_price"))
+    total = per_order_day.groupBy("dt").agg(money_total("order_price").alias("revenue"))
+    prices = per_order_day.groupBy("order_id").agg(money_total("order_price").alias("order_price"))
     new = daily.first_day_revenue(shop.user_actions, cancelled, prices)
     share = percent("new_users_revenue", "revenue")
     return total.join(new, "dt", "left").select(

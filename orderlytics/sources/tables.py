@@ -11,11 +11,9 @@ Orders carry their products as a nested array (bag semantics: a product may
 repeat). A store that keeps order lines normalised can hand them over as
 ``order_items(order_id, product_id)`` instead; operators then join headers to
 items rather than building and exploding arrays, which saves a shuffle of the
-largest table. Both forms give the same rows under the contract of the
-normalised form: a line belongs to an existing order (as it does inside an
-order's array). Operators that start from orders drop lines of unknown orders
-anyway; campaign lines join actions to items directly, so there an action
-pointing at an unknown order would see such lines.
+largest table. Both forms give the same rows: operators reach the items through
+the order rows, so items of orders missing from ``orders`` are ignored and an
+order listed twice gives its lines twice, exactly as with the nested form.
 """
 
 from __future__ import annotations

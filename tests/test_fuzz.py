@@ -3,7 +3,7 @@ skewed and awkward data: one customer with a third of all orders, one day
 with a third of all orders, a hot product, products missing from the catalogue,
 lines of orders that do not exist, orders without lines, free products,
 repeated product names, one very active event user; and a variant with NULLs
-in every nullable raw column."""
+in every nullable raw column (keys included) and duplicated order keys."""
 
 from __future__ import annotations
 
@@ -43,10 +43,12 @@ def make_tables(seed: int, folder: str, null_share: float = 0.0) -> str:
     ns = null_share
     n_orders, n_parts, n_users = 900, 60, 120
     keys = rng.choice(np.arange(1, 20 * n_orders), n_orders, replace=False)
+    if ns:
+        keys[:5] = keys[5:10]                                     # duplicated order keys
     cust = rng.integers(0, n_users, n_orders)
     cust[rng.random(n_orders) < 1 / 3] = 7                       # a third of orders: user 7
     orders = pa.table({
-        "o_orderkey": pa.array(keys, pa.int64()),
+        "o_orderkey": _nulls(rng, keys, ns / 2, pa.int64()),
         "o_custkey": _nulls(rng, cust, ns, pa.int64()),
         "o_orderdate": _nulls(rng, _times(rng, n_orders, 1 / 3), ns / 2, pa.timestamp("us")),
     })
@@ -57,7 +59,7 @@ def make_tables(seed: int, folder: str, null_share: float = 0.0) -> str:
     l_part = rng.integers(1, n_parts + 8, n_lines)                # ids above n_parts: unknown
     l_part[rng.random(n_lines) < 1 / 3] = 3                      # a third of lines: product 3
     lineitem = pa.table({
-        "l_orderkey": pa.array(l_order, pa.int64()),
+        "l_orderkey": _nulls(rng, l_order, ns / 2, pa.int64()),
         "l_partkey": _nulls(rng, l_part, ns, pa.int64()),
         "l_suppkey": _nulls(rng, rng.integers(0, 12, n_lines), ns, pa.int64()),
         "l_returnflag": _nulls(rng, rng.choice(["A", "N", "R"], n_lines), ns, pa.string()),
