@@ -36,11 +36,12 @@ def main():
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
     scratch = tempfile.mkdtemp(prefix="bench-", dir="/tmp")
-    spark = get_session(
-        app="orderlytics-bench", master=f"local[{cpus}]", shuffle_partitions=partitions,
-        conf={"spark.driver.memory": "16g",
-              "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
-              "spark.local.dir": scratch})
+    conf = {"spark.driver.memory": "16g",
+            "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+            "spark.local.dir": scratch}
+    conf.update(json.loads(os.environ.get("BENCH_CONF", "{}")))
+    spark = get_session(app="orderlytics-bench", master=f"local[{cpus}]",
+                        shuffle_partitions=partitions, conf=conf)
     qs = registry.queries()
 
     def run(name):
