@@ -3,7 +3,7 @@ skewed and awkward data: one customer with a third of all orders, one day
 with a third of all orders, a hot product, products missing from the catalogue,
 lines of orders that do not exist, orders without lines, free products,
 repeated product names, one very active event user; and a variant with NULLs
-in every nullable raw column (keys included) and duplicated order keys."""
+in every nullable raw column (keys included) and duplicated order and product keys."""
 
 from __future__ import annotations
 
@@ -67,8 +67,11 @@ def make_tables(seed: int, folder: str, null_share: float = 0.0) -> str:
     })
     cents = rng.integers(0, 50000, n_parts)
     cents[:3] = 0                                                 # free products
+    part_keys = np.arange(1, n_parts + 1)
+    if ns:
+        part_keys[-3:] = [3, 4, 5]                                # duplicated product ids
     part = pa.table({
-        "p_partkey": pa.array(np.arange(1, n_parts + 1), pa.int64()),
+        "p_partkey": _nulls(rng, part_keys, ns, pa.int64()),
         "p_name": _nulls(rng, rng.choice(NAMES, n_parts), ns * 2, pa.string()),
         "p_retailprice": _nulls(rng, cents / 100.0, ns * 2, pa.float64()),
     })
