@@ -78,15 +78,15 @@ def first_and_paid_days(user_actions: DataFrame, cancelled: DataFrame) -> DataFr
         F.min(F.when(F.col("_valid"), F.col("dt"))).alias("paid_date"))
 
 
-def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """dt, new_users, new_paying_users (outer-joined by day), both read from the
-    shuffle of one per-user aggregate."""
+def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame):
+    """(dt, new_users) and (dt, new_paying_users), both read from the shuffle of
+    one per-user aggregate."""
     firsts = first_and_paid_days(user_actions, cancelled)
     new = firsts.groupBy(F.col("start_date").alias("dt")).agg(F.count("user_id").alias("new_users"))
     paid = (firsts.filter(F.col("paid_date").isNotNull())
             .groupBy(F.col("paid_date").alias("dt"))
             .agg(F.count("user_id").alias("new_paying_users")))
-    return new.join(paid, "dt", "full")
+    return new, paid
 
 
 def daily_new_users(user_actions: DataFrame, name: str = "new_users") -> DataFrame:
@@ -150,9 +150,9 @@ def bonus_couriers(courier_actions: DataFrame, cancelled: DataFrame,
 
 def daily_deliveries(courier_actions: DataFrame, cancelled: DataFrame,
                      min_orders: int) -> DataFrame:
-    """dt, orders_delivered, couriers_count (outer-joined by day). Valid
-    deliveries are reduced once to distinct (day, courier, order); both counts
-    are read from that one shuffle."""
+    """dt, orders_delivered, couriers_count. Valid deliveries are reduced once
+    to distinct (day, courier, order); both counts are read from that one
+    shuffle. A bonus day is always a delivery day, so a left join suffices."""
     per_courier_order = (valid(courier_actions, cancelled)
                          .filter(F.col("action") == DELIVER)
                          .select(day("time").alias("dt"), "courier_id", "order_id")
@@ -163,7 +163,7 @@ def daily_deliveries(courier_actions: DataFrame, cancelled: DataFrame,
             .agg(F.count("order_id").alias("n"))
             .filter(F.col("n") >= min_orders)
             .groupBy("dt").agg(F.count("courier_id").alias("couriers_count")))
-    return delivered.join(busy, "dt", "full")
+    return delivered.join(busy, "dt", "left")
 
 
 def star(base: DataFrame, *others: DataFrame, on: str = "dt") -> DataFrame:

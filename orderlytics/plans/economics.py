@@ -62,7 +62,7 @@ def e3_running_arpu(shop: Shop) -> DataFrame:
     new users, new paying users and orders. Users who start on a day without
     revenue never enter the running counts (the series is the revenue days)."""
     cancelled, base = _day_kpis(shop)
-    t = daily.star(base, daily.daily_new_users_and_payers(shop.user_actions, cancelled))
+    t = daily.star(base, *daily.daily_new_users_and_payers(shop.user_actions, cancelled))
     rev = windows.running_sum("revenue")
     return t.select(
         "dt",
