@@ -221,3 +221,21 @@ def test_free_product_alone_on_a_day(spark):
     assert e1 == [(D(2022, 9, 1), 0.0, None), (D(2022, 9, 2), 4.0, None)]
     e7 = {r["dt"]: r for r in E.e7_gross_profit(shop, VatRule(reduced=[]), CostModel()).collect()}
     assert e7[D(2022, 9, 1)]["gross_profit_ratio"] is None
+
+
+def test_shop_reads_canonical_parquet_folders(spark, tmp_path):
+    from orderlytics.sources.tables import Shop
+    shop = micro_shop(
+        spark,
+        [(1, 1, C, ts(1)), (1, 2, C, ts(2)), (1, 2, X, ts(2, 11))],
+        [(1, ts(1), [1, 1]), (2, ts(2), [1])],
+        [(1, "a", 2.5)],
+        [(3, 1, "deliver_order", ts(1, 12))])
+    root = str(tmp_path)
+    for name, df in (("user_actions", shop.user_actions), ("orders", shop.orders),
+                     ("products", shop.products), ("courier_actions", shop.courier_actions)):
+        df.write.parquet(f"{root}/{name}")
+    back = Shop.read_parquet(root, spark)
+    assert rows(E.e1_daily_revenue(back)) == rows(E.e1_daily_revenue(shop))
+    assert rows(E.e7_gross_profit(back, VatRule(reduced=[]), CostModel())) == \
+        rows(E.e7_gross_profit(shop, VatRule(reduced=[]), CostModel()))
