@@ -180,11 +180,9 @@ def lines_of_actions(shop: Shop, acts: DataFrame) -> DataFrame:
     the order rows (all joins on the order id, so one partitioning serves them)."""
     if shop.order_items is None:
         return acts.join(order_items(shop), "order_id", "left")
-    ids = shop.order_headers().select(F.col("order_id").alias("_order_row"))
-    items = shop.order_items.select(F.col("order_id").alias("_item_order"), "product_id")
-    return (acts.join(ids, F.col("order_id") == F.col("_order_row"), "left")
-            .join(items, F.col("_order_row") == F.col("_item_order"), "left")
-            .drop("_order_row", "_item_order"))
+    # The lines as the nested form would unnest them: one per (order row, item).
+    lines = shop.order_headers().select("order_id").join(shop.order_items, "order_id")
+    return acts.join(lines, "order_id", "left")
 
 
 def action_days(user_actions: DataFrame) -> DataFrame:

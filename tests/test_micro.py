@@ -239,3 +239,18 @@ def test_shop_reads_canonical_parquet_folders(spark, tmp_path):
     assert rows(E.e1_daily_revenue(back)) == rows(E.e1_daily_revenue(shop))
     assert rows(E.e7_gross_profit(back, VatRule(reduced=[]), CostModel())) == \
         rows(E.e7_gross_profit(shop, VatRule(reduced=[]), CostModel()))
+
+
+def test_duplicated_order_rows_with_and_without_lines(spark):
+    shop = micro_shop(spark, [(1, 1, C, ts(1)), (1, 2, C, ts(1))],
+                      [(1, ts(1), [5]), (1, ts(1), [5]), (2, ts(1), None), (2, ts(1), None)],
+                      [(5, "a", 3)])
+    items = spark.createDataFrame([(1, 5)], "order_id BIGINT, product_id BIGINT")
+    headers = shop.orders.select("order_id", "creation_time")
+    norm = type(shop)(shop.user_actions, headers, shop.products, shop.courier_actions, items)
+    c = campaigns(spark, [(1, 1)])
+    from orderlytics.operators import facts
+    for s in (shop, norm):
+        got = rows(facts.campaign_order_lines(s, c), "order_id", "product_id", "price")
+        # order 1 is listed twice: its line twice; order 2 (twice, no lines): one NULL row
+        assert got == [(1, 5, 3), (1, 5, 3), (2, None, None)], got
