@@ -53,6 +53,8 @@ def make_tables(seed: int, folder: str, null_share: float = 0.0) -> str:
         "o_orderdate": _nulls(rng, _times(rng, n_orders, 1 / 3), ns / 2, pa.timestamp("us")),
     })
     with_lines = keys[rng.random(n_orders) > 0.05]                # some orders have no lines
+    if ns:
+        with_lines = with_lines[~np.isin(with_lines, keys[5:7])]  # duplicated, without lines
     n_lines = 4000
     l_order = rng.choice(with_lines, n_lines)
     l_order[:20] = rng.integers(10**7, 10**7 + 50, 20)           # lines of unknown orders
