@@ -96,8 +96,8 @@ def order_items(shop: Shop) -> DataFrame:
 
 
 def existing_order_items(shop: Shop) -> DataFrame:
-    """order_id, product_id of the lines of orders present in ``orders`` (a line
-    exists only inside an order; normalised items of unknown orders are dropped)."""
+    """order_id, product_id of the lines as unnesting the orders gives them: one
+    per (order row, item); normalised items of unknown orders are dropped."""
     if shop.order_items is None:
         return order_items(shop)
     return shop.order_headers().select("order_id").join(shop.order_items, "order_id")
@@ -176,13 +176,9 @@ def lines_of_actions(shop: Shop, acts: DataFrame) -> DataFrame:
     """``acts LEFT JOIN (order lines) USING (order_id)``, the lines taken from the
     orders table: an action of an order without lines, or of an order missing
     from ``orders``, keeps one row with a NULL product; an order listed twice
-    gives its lines twice. With normalised items the lines are reached through
-    the order rows (all joins on the order id, so one partitioning serves them)."""
-    if shop.order_items is None:
-        return acts.join(order_items(shop), "order_id", "left")
-    # The lines as the nested form would unnest them: one per (order row, item).
-    lines = shop.order_headers().select("order_id").join(shop.order_items, "order_id")
-    return acts.join(lines, "order_id", "left")
+    gives its lines twice. Both joins are on the order id, so one partitioning
+    serves them."""
+    return acts.join(existing_order_items(shop), "order_id", "left")
 
 
 def action_days(user_actions: DataFrame) -> DataFrame:
