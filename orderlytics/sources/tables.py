@@ -91,11 +91,23 @@ class Shop:
         )
 
     @classmethod
-    def read_parquet(cls, root: str, spark) -> Shop:
-        """Read the canonical tables from ``root/<table>`` Parquet folders."""
+    def read_parquet(cls, root: str, spark, normalised: bool = False) -> Shop:
+        """Read the canonical tables from ``root/<table>`` Parquet folders
+        (``order_items`` too when ``normalised``)."""
         def rd(name):
             return spark.read.parquet(f"{root}/{name}")
-        return cls.from_tables(rd("user_actions"), rd("orders"), rd("products"), rd("courier_actions"))
+        return cls.from_tables(rd("user_actions"), rd("orders"), rd("products"),
+                               rd("courier_actions"), rd("order_items") if normalised else None)
+
+    def write_parquet(self, root: str, mode: str = "errorifexists") -> None:
+        """Write the canonical tables to ``root/<table>`` Parquet folders (the
+        layout ``read_parquet`` reads); normalised items go to ``order_items``."""
+        tables = {"user_actions": self.user_actions, "orders": self.orders,
+                  "products": self.products, "courier_actions": self.courier_actions,
+                  "order_items": self.order_items}
+        for name, df in tables.items():
+            if df is not None:
+                df.write.mode(mode).parquet(f"{root}/{name}")
 
     def order_headers(self) -> DataFrame:
         """order_id, creation_time (the array column pruned away)."""

@@ -232,9 +232,7 @@ def test_shop_reads_canonical_parquet_folders(spark, tmp_path):
         [(1, "a", 2.5)],
         [(3, 1, "deliver_order", ts(1, 12))])
     root = str(tmp_path)
-    for name, df in (("user_actions", shop.user_actions), ("orders", shop.orders),
-                     ("products", shop.products), ("courier_actions", shop.courier_actions)):
-        df.write.parquet(f"{root}/{name}")
+    shop.write_parquet(root)
     back = Shop.read_parquet(root, spark)
     assert rows(E.e1_daily_revenue(back)) == rows(E.e1_daily_revenue(shop))
     assert rows(E.e7_gross_profit(back, VatRule(reduced=[]), CostModel())) == \
