@@ -61,6 +61,13 @@ def main():
            "scale (broadcast when under `spark.sql.autoBroadcastJoinThreshold`); at cluster scale",
            "the same plans use sort-merge joins on the same keys. Every scan reads only the listed",
            "columns.",
+           "",
+           "What the plans show (and `tests/test_plans.py` asserts): cancellations are plain",
+           "`LeftAnti` hash joins, never the null-aware form `NOT IN` produces; no nested-loop or",
+           "cartesian join and no Python evaluation; every exchange feeding an aggregate or a window",
+           "carries partially aggregated rows; single-partition exchanges appear only above per-day",
+           "series (running totals) or one-row totals; reused exchanges show where one aggregate feeds",
+           "several series; date windows reach the Parquet scans as pushed filters.",
            ""]
     for name in oracle.METRICS:
         df = qs[name](spark, args.sf_dir)
