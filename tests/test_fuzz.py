@@ -134,3 +134,19 @@ def test_nested_orders_match_normalised_items_on_awkward_data(spark):
     b = dashboard.refresh(flat, td.campaigns(), **kw)
     for name in a:
         assert rows(a[name]) == rows(b[name]), name
+
+
+def test_prepared_dashboard_matches_raw_on_awkward_data(spark):
+    from conftest import rows
+    from orderlytics.plans import dashboard
+    from orderlytics.sources import testdata as td
+    folder = make_tables(47, tempfile.mkdtemp(prefix="fuzz-", dir="/tmp"), 0.03)
+    raw = td.shop(spark, folder)
+    prepared = dashboard.prepare(raw, tempfile.mkdtemp(prefix="prep-", dir="/tmp"))
+    kw = dict(activity=td.activity_shop(spark, folder), first_week=td.FIRST_WEEK,
+              weekday_window=td.WEEKDAY_WINDOW, folding=td.folding(), vat=td.vat_rule(),
+              costs=td.cost_model())
+    a = dashboard.refresh(raw, td.campaigns(), **kw)
+    b = dashboard.refresh(prepared, td.campaigns(), **kw)
+    for name in a:
+        assert rows(a[name]) == rows(b[name]), name
