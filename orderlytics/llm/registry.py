@@ -8,13 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import exact_dedup, packing, scratch
+from orderlytics.llm import exact_dedup, lm_score, packing, quality, scratch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against conversations, the target, and all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.cross_entropy_difference(docs, _table(spark, sf_dir, "conversations"), docs)
+
+
+def fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(3) != 1)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(5) != 0)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +58,8 @@ FROM n JOIN g USING (norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
+                                   op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

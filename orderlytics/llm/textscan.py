@@ -29,6 +29,8 @@ class Words(NamedTuple):
     start: np.ndarray   # byte position within its text
     end: np.ndarray
     first: np.ndarray   # index of each text's first word; one more entry at the end
+    data: np.ndarray    # the bytes of the block's texts, one after the other
+    at: np.ndarray      # where each text begins in them; one more entry at the end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ class Scanner:
     def _scan(self, lo: int, data: np.ndarray, at: np.ndarray) -> Words:
         n = len(data)
         if not n:
-            return Words(lo, np.zeros(0, U), *(np.zeros(0, np.int64),) * 2, np.zeros(len(at), np.int64))
+            return Words(lo, np.zeros(0, U), *(np.zeros(0, np.int64),) * 2, np.zeros(len(at), np.int64), data, at)
         self._powers(n)
         word = ~self.space[data]
         edge = np.zeros(n + 1, dtype=bool)
@@ -86,7 +88,7 @@ class Scanner:
         np.cumsum(self.value[data] * self.power[:n], out=total[1:])
         first = np.searchsorted(start, at)
         shift = np.repeat(at[:-1], np.diff(first))
-        return Words(lo, mix((total[end] - total[start]) * self.inverse[start]), start - shift, end - shift, first)
+        return Words(lo, mix((total[end] - total[start]) * self.inverse[start]), start - shift, end - shift, first, data, at)
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,3 +110,56 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
                 rolled = rolled * _STEP + words.hash[words.first[short] + j]
             of, out = np.r_[of, short], np.r_[out, mix(rolled)]
     return of, out
+
+
+def previous(words: Words) -> np.ndarray:
+    """The hash of the word before each word; 0 before the first of a text."""
+    before = np.empty_like(words.hash)
+    before[1:] = words.hash[:-1]
+    before[words.first[:-1][np.diff(words.first) > 0]] = 0
+    return before
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _STEP + b)
+
+
+def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over [first[i], first[i + 1])."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
+    return total[first[1:]] - total[first[:-1]]
+
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in ``sorted_keys``, or their number where it is missing."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    at[at == len(sorted_keys)] = 0
+    return np.where(sorted_keys[at] == keys, at, len(sorted_keys))
+
+
+class Tally:
+    """Counts by 64-bit key, merged whenever ``limit`` entries are waiting, so that
+    a task holds few more than its distinct keys. ``extra`` columns go with the key."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit, self.waiting, self.size = limit, [], 0
+
+    def add(self, keys: np.ndarray, counts: list[np.ndarray], extra: tuple[np.ndarray, ...] = ()) -> None:
+        self.waiting.append((keys, counts, extra))
+        self.size += len(keys)
+        if self.size > self.limit:
+            self.merge()
+            self.limit = max(self.limit, 2 * self.size)
+
+    def merge(self):
+        if self.waiting:
+            keys = np.concatenate([w[0] for w in self.waiting])
+            counts = [np.concatenate(c) for c in zip(*(w[1] for w in self.waiting))]
+            extra = [np.concatenate(c) for c in zip(*(w[2] for w in self.waiting))]
+            keys, at, group = np.unique(keys, return_index=True, return_inverse=True)
+            counts = [np.bincount(group, c, len(keys)).astype(np.int64) for c in counts]
+            self.waiting, self.size = [(keys, counts, tuple(e[at] for e in extra))], len(keys)
+            return self.waiting[0]
+        return None
