@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import exact_dedup, lm_score, packing, quality, scratch, toxicity
+from orderlytics.llm import exact_dedup, lm_score, ngram_join, packing, quality, scratch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
            FROM documents),
@@ -59,7 +63,7 @@ FROM n JOIN g USING (norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
-                                   op7_quality)}
+                                   op6_ngram_join, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
