@@ -8,13 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import exact_dedup, lm_score, ngram_join, packing, quality, scratch, toxicity
+from orderlytics.llm import (exact_dedup, lm_score, ngram_join, packing, permutation_index, quality,
+                             scratch, sentencepiece_codec, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids, and whether they decode to the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents")
+    ids = sentencepiece_codec.encode(docs.select("doc_id", "text"), path)
+    back = sentencepiece_codec.decode(ids, path, ["doc_id", "n_tokens", "ids"])
+    return back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"),
+                       F.length("text").cast("long").alias("decoded_chars"), F.crc32("text").alias("decoded_crc32"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against conversations, the target, and all documents."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,8 +78,8 @@ FROM n JOIN g USING (norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
-                                   op6_ngram_join, op7_quality)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
+                                   op6_ngram_join, op7_quality, op8_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

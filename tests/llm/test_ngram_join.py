@@ -54,7 +54,8 @@ def corpus(seed, n=120):
 
 
 def test_components_equal_brute_force(spark, monkeypatch):
-    for seed, k, percent, asked in ((1, 4, 85, 2000), (2, 5, 80, 3), (3, 2, 60, 7)):
+    for seed, k, percent, asked, hot in ((1, 4, 85, 2000, 999), (2, 5, 80, 3, 20)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
         monkeypatch.setattr(ngram_join, "ASKED", asked)
         rows = corpus(seed)
         df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, gram string")
