@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlytics.llm import (exact_dedup, lm_score, ngram_join, packing, permutation_index, quality,
-                             scratch, sentencepiece_codec, toxicity)
+                             scratch, sentencepiece_codec, substring_dedup, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("text").cast("long").alias("decoded_chars"), F.crc32("text").alias("decoded_crc32"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(rows, F.col("vec_id") % 20 == 0)
@@ -79,7 +83,7 @@ FROM n JOIN g USING (norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
-                                   op6_ngram_join, op7_quality, op8_nearest)}
+                                   op6_ngram_join, op7_quality, op8_nearest, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 
 from orderlytics.llm.textscan import release
 
-#: Texts whose distinct words are indexed together.
-TEXTS = 512
+#: Texts whose distinct words are looked up together.
+TEXTS = 1024
+#: Most words in one index.
+WORDS = 40_000
+#: Distinct words whose ids a task remembers.
+KNOWN = 300_000
 SPACE = "▁"
 FOREIGN = -2  # a character that is no piece; spelled in bytes
 
@@ -172,9 +176,9 @@ def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
     size = np.array([len(p.text[i]) for i in use])
     end, piece = start + size[piece], use[piece]
     begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw])))
-    foreign = [(b + len(words[i][:m.start()].encode()), len(m.group().encode())) for b, i in zip(begin, easy)
-               for m in re.finditer(r"(?s).", words[i]) if m.group() not in p.chars] if any(
-                   not p.chars.issuperset(words[i]) for i in easy) else []
+    odd = [k for k, i in enumerate(easy) if not p.chars.issuperset(words[i])]
+    foreign = [(begin[k] + len(words[easy[k]][:j].encode()), len(c.encode()))
+               for k in odd for j, c in enumerate(words[easy[k]]) if c not in p.chars]
     if foreign:
         s, n = np.array(foreign).T
         start, end, piece = np.r_[start, s], np.r_[end, s + n], np.r_[piece, np.full(len(s), FOREIGN)]
@@ -199,13 +203,13 @@ def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
     order = np.lexsort((at, word))
     word, ids, at = word[order], ids[order], at[order]
     ends = np.searchsorted(word, np.arange(len(easy) + 1))
-    for k, i in enumerate(easy):
-        got = ids[ends[k]:ends[k + 1]]
-        if (got == FOREIGN).any():
-            here = at[ends[k]:ends[k + 1]] - begin[k]
-            stop = np.append(here[1:], len(raw[k]))
-            got = np.concatenate([[g] if g >= 0 else p.byte[list(raw[k][a:b])] for g, a, b in zip(got, here, stop)])
+    for i, got in zip(easy, np.split(ids, ends[1:-1])):
         out[i] = got
+    for k in odd:
+        here = at[ends[k]:ends[k + 1]] - begin[k]
+        stop = np.append(here[1:], len(raw[k]))
+        out[easy[k]] = np.concatenate([[g] if g >= 0 else p.byte[list(raw[k][a:b])]
+                                       for g, a, b in zip(out[easy[k]], here, stop)])
     return out
 
 
@@ -231,14 +235,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         normal = sentencepiece.SentencePieceProcessor(model_file=model)
         split = re.compile(f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
+        known: dict[str, bytes] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
-                index: dict[str, int] = {}
-                texts = [[index.setdefault(w, len(index)) for w in split.findall(normal.normalize(t) if t else "")]
-                         for t in part.column("text").to_pylist()]
-                found = [x.astype("<u4").tobytes() for x in encode_words(pieces.value, list(index))]
-                ids = [b"".join(map(found.__getitem__, t)) for t in texts]
+                texts = [split.findall(normal.normalize(t) if t else "") for t in part.column("text").to_pylist()]
+                if len(known) > KNOWN:
+                    known.clear()
+                new = list(set().union(*texts) - known.keys())
+                for at in range(0, len(new), WORDS):
+                    some = new[at:at + WORDS]
+                    for word, found in zip(some, encode_words(pieces.value, some)):
+                        known[word] = found.astype("<u4").tobytes()
+                ids = [b"".join(map(known.__getitem__, t)) for t in texts]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                        pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
             release()
@@ -267,4 +276,4 @@ def decode(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
                                                 pa.string())], names=[*keep, "text"])
             release()
 
-    return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, text string")
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{kinds}, text string")
