@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import (exact_dedup, lm_score, ngram_join, packing, permutation_index, quality,
-                             scratch, sentencepiece_codec, substring_dedup, toxicity)
+from orderlytics.llm import (exact_dedup, license_scan, lm_score, ngram_join, packing, permutation_index,
+                             quality, scratch, sentencepiece_codec, substring_dedup, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of directories <source>/<doc_id div 1000>/<doc_id div 100>,
+    of which the first id stands for the licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").when(F.col("doc_id") % 1000 == 1, "../LICENSE").otherwise(
+        F.col("doc_id").cast("string"))
+    folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
+    path = F.when(name == "../LICENSE", F.concat(folder, F.lit("/LICENSE"))).otherwise(
+        F.concat_ws("/", folder, F.floor(F.col("doc_id") / 100).cast("string"), name))
+    return license_scan.scan(docs, path)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return permutation_index.nearest(rows, F.col("vec_id") % 20 == 0)
@@ -83,7 +95,7 @@ FROM n JOIN g USING (norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
-                                   op6_ngram_join, op7_quality, op8_nearest, op9_substring_dedup)}
+                                   op6_ngram_join, op7_quality, op8_nearest, op9_substring_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ tasks, runs and tables.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text scanned at once; a longer text is one block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 5)
 _STEP = U(0xD6E8FEB86659FD93)
@@ -44,13 +45,27 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and two
+    share a machine's memory with their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scanner:
-    def __init__(self, lower: bool = False):
+    def __init__(self, lower: bool = False, punctuation: bool = False):
+        """``lower``: A-Z count as a-z; ``punctuation``: ASCII bytes that are neither
+        letters nor digits separate words too."""
         self.value = mix(np.arange(1, 257, dtype=U) * _STEP)
         if lower:
             self.value[65:91] = self.value[97:123]
         self.space = np.zeros(256, dtype=bool)
         self.space[[32, *range(9, 14)]] = True
+        if punctuation:
+            self.space[[b for b in range(128) if not chr(b).isalnum()]] = True
         self.power = self.inverse = np.ones(1, dtype=U)
 
     def _powers(self, n: int) -> None:
@@ -72,6 +87,7 @@ class Scanner:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
             yield self._scan(lo, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             lo = hi
+        release()
 
     def _scan(self, lo: int, data: np.ndarray, at: np.ndarray) -> Words:
         n = len(data)

@@ -133,9 +133,9 @@ def _ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             ratios = [shared.value.ratio(w) for w in scanner.blocks(batch.column("text"))]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(np.concatenate([np.zeros(0), *ratios]))],
-                                  names=[*keep, "ratio"])
+                                  names=[*keep, "_ratio"])
 
-    return docs.select(*keep, "text").mapInArrow(score, f"{kinds}, ratio double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, f"{kinds}, _ratio double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float, float, float]:
@@ -151,8 +151,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", sample: int = SAMPLE, telling: float = TELLING) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (0 to 1, higher: likelier toxic).
+             label_col: str = "toxic", sample: int = SAMPLE, telling: float = TELLING,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, score (0 to 1, higher: likelier toxic), and
+    the columns ``keep`` of ``docs``, with the text under the name "text".
 
     The models learn from at most ``sample`` rows of ``labels`` (id and 0/1 label;
     of several rows with one id the larger label counts, NULLs none) for which the
@@ -160,18 +162,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     score depends on the text alone. NULL texts equal empty ones, which get the
     curve's value at 0. Without labelled rows of both classes every score is 0. NULL
     ids are scored and never learnt from; repeated rows are scored each."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       *(c for c in keep if c not in (id_col, text_col)))
+    carried = list(dict.fromkeys(["doc_id", *(c for c in keep if c not in (id_col, text_col)), *(["text"] if text_col in keep else [])]))
+    labelled_by = docs.select("doc_id", "text")
     chosen = scratch.table(
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(learn)
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample))
     part = F.broadcast(chosen.withColumn("curve", F.pmod(F.shiftright("_order", 8), F.lit(3)) == 0).drop("_order"))
-    labelled = docs.join(part, "doc_id")  # at most ``sample`` rows are broadcast
+    labelled = labelled_by.join(part, "doc_id")  # at most ``sample`` rows are broadcast
     model = _fit_model(labelled.where(~F.col("curve")).select("text", "toxic"), telling)
     seen = _ratios(labelled.where("curve"), model, ["toxic"]).limit(4 * sample).toArrow().to_pydict()
-    x, y = np.arcsinh(np.array(seen["ratio"], float) / SCALE), np.array(seen["toxic"], float)
+    x, y = np.arcsinh(np.array(seen["_ratio"], float) / SCALE), np.array(seen["toxic"], float)
     if not 0 < y.sum() < len(y):
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.select(*carried, F.lit(0.0).alias("score"))
     mean, deviation, slope, intercept = logistic(x, y)
-    z = (F.asinh(F.col("ratio") / F.lit(SCALE)) - F.lit(mean)) / F.lit(deviation) * F.lit(slope) + F.lit(intercept)
-    return _ratios(docs, model, ["doc_id"]).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    z = (F.asinh(F.col("_ratio") / F.lit(SCALE)) - F.lit(mean)) / F.lit(deviation) * F.lit(slope) + F.lit(intercept)
+    return _ratios(docs, model, carried).select(*carried, (1 / (1 + F.exp(-z))).alias("score"))
