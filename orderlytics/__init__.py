@@ -5,7 +5,7 @@ Layers:
   functions  Column helpers (money, exact ratios, day names, labels)
   operators  reusable building blocks (valid orders, order lines, daily aggregates, cohorts, ...)
   plans      the thirteen metric queries and their registry
-  streaming  incremental refresh of daily metrics with Structured Streaming
+  llm        operators for training text (optional; nothing else imports it)
 """
 
 from orderlytics.session import get_session, ensure_checkpoint_dir  # noqa: F401

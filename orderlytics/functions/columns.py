@@ -58,13 +58,17 @@ def money(c: str | Column) -> Column:
 
 
 def money_total(c: str | Column) -> Column:
-    """SUM of money (values with at most 2 decimals), returned as MONEY_SUM.
+    """SUM of money, returned as MONEY_SUM. A value with more than 2 decimals is an
+    error: it would be cut off.
 
     The sum runs over exact integer cents in a BIGINT accumulator: Spark would
     sum DECIMAL(12,2) into DECIMAL(22,2), which is past 18 digits and leaves
     the long-backed fast path for BigDecimal arithmetic. ANSI mode turns an
     overflow (beyond 9.2e16 in currency units) into an error, never a wrap."""
-    cents = (col(c) * F.lit(100)).cast("bigint")
+    hundredfold = col(c) * F.lit(100)
+    cents = hundredfold.cast("bigint")
+    cents = F.when(cents == hundredfold, cents).when(hundredfold.isNotNull(), F.raise_error(
+        F.concat(F.lit("money with more than 2 decimals: "), col(c).cast("string"))))
     return (F.sum(cents).cast(COUNT_DEC) / F.lit(100)).cast(MONEY_SUM)
 
 

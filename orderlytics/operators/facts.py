@@ -3,13 +3,13 @@ campaign attribution.
 
 Scale notes
 -----------
-* A cancelled order is excluded with a ``left_anti`` join against the distinct
-  cancelled ids. ``NOT IN (subquery)`` would plan as a null-aware broadcast
+* A cancelled order is excluded with a ``left_anti`` join against the ids of the
+  cancel rows, as they come. ``NOT IN (subquery)`` would plan as a null-aware broadcast
   anti join whatever the size of the subquery; the window formulation
   (``COUNT(...) FILTER (...) OVER (PARTITION BY order_id)``) shuffles the whole
-  action log and blocks filter pushdown. The anti join shuffles only the
-  cancelled ids (already hash-partitioned by the distinct) and the probe side,
-  and AQE can split a skewed probe partition.
+  action log and blocks filter pushdown. The ids are not made distinct first: an
+  aggregate between the shuffle and the join would keep AQE from splitting a
+  skewed probe partition, and a repeated id changes no anti join.
 * No broadcast hints on tables that grow with the data (products, members):
   Spark broadcasts them only when its size estimate, or AQE's runtime size,
   is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise sort-merge.
@@ -30,19 +30,24 @@ from orderlytics.sources.tables import CANCEL, Shop
 def cancelled_orders(user_actions: DataFrame) -> DataFrame:
     """Distinct ids of orders that have any ``cancel_order`` action.
 
-    Contract: cancel rows carry an order id; rows without one are ignored
-    (under ``NOT IN`` a single NULL there would empty every result)."""
+    Cancel rows without an order id name no order and cancel none (under ``NOT
+    IN`` a single NULL there would empty every result)."""
+    return cancel_ids(user_actions).distinct()
+
+
+def cancel_ids(user_actions: DataFrame) -> DataFrame:
+    """The order id of every ``cancel_order`` action that has one; ids may repeat."""
     return (user_actions
             .filter((F.col("action") == CANCEL) & F.col("order_id").isNotNull())
-            .select("order_id")
-            .distinct())
+            .select("order_id"))
 
 
 def cancelled_of(shop: Shop) -> DataFrame:
-    """The shop's cancelled order ids (prepared once if the shop was prepared)."""
+    """The shop's cancelled order ids, possibly repeated (prepared once if the shop
+    was prepared)."""
     if shop.cancelled_ids is not None:
         return shop.cancelled_ids
-    return cancelled_orders(shop.user_actions)
+    return cancel_ids(shop.user_actions)
 
 
 def without_cancelled(df: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -179,9 +184,3 @@ def lines_of_actions(shop: Shop, acts: DataFrame) -> DataFrame:
     gives its lines twice. Both joins are on the order id, so one partitioning
     serves them."""
     return acts.join(existing_order_items(shop), "order_id", "left")
-
-
-def action_days(user_actions: DataFrame) -> DataFrame:
-    """Distinct (user_id, dt) activity pairs: the dedupe makes every later
-    per-user step bounded by the number of days, however hot a user is."""
-    return user_actions.select("user_id", day("time").alias("dt")).distinct()

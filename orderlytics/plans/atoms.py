@@ -191,7 +191,7 @@ def _campaign_day_totals(shop):
     per_day = main.groupBy("ads_campaign", day("time").alias("dt")).agg(
         money_total("price").alias("revenue"))
     totals = main.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
-    return per_day.join(F.broadcast(totals), "ads_campaign", "left")
+    return per_day.join(totals, "ads_campaign", "left")
 
 
 def campaign_totals_join(s, d):
@@ -462,7 +462,7 @@ def fn_explode(s, d):
 
 # -------------------------------------------------- 2.9 composite operators
 def cancelled_orders(s, d):
-    return _cancelled(_shop(s, d))
+    return facts.cancelled_orders(_shop(s, d).user_actions)
 
 
 def valid_orders(s, d):

@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 from orderlytics.plans import atoms
-from orderlytics.plans.oracle import (CAMPAIGN, DELIVERIES, FIRST_SEEN, FIRST_WEEK_WHERE, LABEL,
+from orderlytics.plans.oracle import (CAMPAIGN, COHORT_DAYS, DELIVERIES, FIRST_SEEN, FIRST_WEEK_WHERE, LABEL,
                                       NOT_CANCELLED, ORDER_VALUE, OTHER, SALES_BY_DAY,
                                       SPEND_BY_USER_DAY, USER_CHECKS, VAT_LINES, _tariff_case,
                                       _W0, _W1, cents, dbl_cents, r2, r2k)
@@ -22,11 +22,7 @@ BONUS = f"""(SELECT dt, COUNT(courier_id) AS couriers_count FROM {PER_COURIER_DA
              WHERE orders_delivered >= {td.cost_model().bonus_min_orders} GROUP BY dt)"""
 CAMPAIGN_DAYS = """(SELECT ads_campaign, CAST("time" AS DATE) AS dt, SUM(price) AS revenue
                     FROM campaign_lines GROUP BY 1, 2)"""
-COHORTS = """(SELECT start_date, dt, COUNT(DISTINCT user_id) AS users
-              FROM (SELECT user_id, CAST("time" AS DATE) AS dt,
-                           MIN(CAST("time" AS DATE)) OVER (PARTITION BY user_id) AS start_date
-                    FROM act) a
-              GROUP BY start_date, dt)"""
+COHORTS = f"({COHORT_DAYS})"
 CANCEL_COUNT = "COUNT(CASE WHEN action = 'cancel_order' THEN 1 END) OVER (PARTITION BY order_id)"
 BY_DAY = "WINDOW by_day AS (ORDER BY dt ASC NULLS LAST)"
 WEEKDAY = "rpad(dayname({}), 9, ' ')"

@@ -105,8 +105,7 @@ def m6_cumulative_arppu(shop: Shop, campaigns: Campaigns) -> DataFrame:
     totals = g.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
     totals = totals.select("ads_campaign", "paying_users",
                            ratio(_spend(campaigns), "paying_users").alias("cac"))
-    # One row per reported campaign: bounded by the parameter, safe to broadcast.
-    t = per_day.join(F.broadcast(totals), "ads_campaign", "left")
+    t = per_day.join(totals, "ads_campaign", "left")
     part = ["ads_campaign"]
     n = windows.row_number("dt", part) - 1
     return t.select(

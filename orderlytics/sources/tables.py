@@ -61,7 +61,18 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select([_exact(df, f).alias(f.name) for f in schema.fields])
+
+
+def _exact(df: DataFrame, field: T.StructField):
+    """The column as the contract's type. A decimal that the type would round (a price
+    below a cent) is an error."""
+    c = F.col(field.name)
+    to = c.cast(field.dataType)
+    if not isinstance(field.dataType, T.DecimalType) or df.schema[field.name].dataType == field.dataType:
+        return to
+    return F.when(c.isNull() | (to == c), to).otherwise(F.raise_error(
+        F.concat(F.lit(f"{field.name} with more decimals than {field.dataType.simpleString()}: "), c.cast("string"))))
 
 
 @dataclass(frozen=True)
