@@ -19,6 +19,7 @@ throughout.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,17 @@ from pyspark.sql import functions as F
 
 from orderlytics.llm import scratch
 from orderlytics.llm.components import components
-from orderlytics.llm.textscan import Scanner, mix, shingles, signed
+from orderlytics.llm.textscan import Scanner, mix, per_text, shingles, signed
 
-#: Buckets (as a power of two) in which n-grams are counted, and parts they travel in.
-BITS, PARTS = 22, 64
+#: Buckets in which n-grams are counted: 64 for each text, as a power of two between
+#: these bounds (at most 16 MB); and the parts that they travel in.
+LEAST_BITS, MOST_BITS, PARTS = 12, 24, 64
+#: Level (see _frequency) of a bucket whose n-grams may have very long lists: 2 ** 17 texts.
+HOT = 8 * 17
 #: Texts that one task compares with one querying text.
 ASKED = 2000
+#: N-grams of asked texts whose lists are in memory at once.
+AT_ONCE = 1 << 18
 
 
 def _sets(words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,15 +51,17 @@ def _sets(words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return of[new], s[new]
 
 
-def _frequency(docs: DataFrame, k: int) -> np.ndarray:
+def _frequency(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Per bucket, eight times the binary logarithm of 1 + the n-grams in it."""
+    size, shift = (1 << bits) // PARTS, np.uint64(64 - bits)
+
     def count(batches):
-        scanner, total = Scanner(lower=True), np.zeros(1 << BITS, np.uint32)
+        scanner, total = Scanner(lower=True), np.zeros(size * PARTS, np.uint32)
         for batch in batches:
             for w in scanner.blocks(batch.column("text")):
-                bucket, n = np.unique(_sets(w, k)[1] >> np.uint64(64 - BITS), return_counts=True)
+                bucket, n = np.unique(_sets(w, k)[1] >> shift, return_counts=True)
                 total[bucket.astype(np.int64)] += n.astype(np.uint32)
-        rows = [(i, p.astype("<u4").tobytes()) for i, p in enumerate(np.split(total, PARTS)) if p.any()]
+        rows = [(i, zlib.compress(p.astype("<u4").tobytes(), 1)) for i, p in enumerate(np.split(total, PARTS)) if p.any()]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                               ["part", "counts"])
 
@@ -61,23 +69,24 @@ def _frequency(docs: DataFrame, k: int) -> np.ndarray:
         totals = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                total = totals.setdefault(part, np.zeros((1 << BITS) // PARTS, np.uint64))
-                total += np.frombuffer(counts.as_buffer(), "<u4")
+                total = totals.setdefault(part, np.zeros(size, np.uint64))
+                total += np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4")
         for part, total in totals.items():
             level = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())],
                                   ["part", "level"])
 
     parts = (docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part")
-             .mapInArrow(add, "part int, level binary").collect())  # PARTS rows, 4 MB in all
-    level = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
+             .mapInArrow(add, "part int, level binary").collect())  # PARTS rows, 16 MB in all at most
+    level = np.zeros((PARTS, size), np.uint8)
     for r in parts:
         level[r["part"]] = np.frombuffer(r["level"], np.uint8)
     return level.ravel()
 
 
-def _prefixes(docs: DataFrame, level, k: int, percent: int) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, prefix (its rarest n-grams)."""
+def _prefixes(docs: DataFrame, level, bits: int, k: int, percent: int) -> DataFrame:
+    """doc_id, n, two fingerprints of the set, prefix (its rarest n-grams, the rarest
+    first), hot (how many n-grams of the prefix, its last, are in hot buckets)."""
     def scan(batches):
         scanner = Scanner(lower=True)
         for batch in batches:
@@ -88,17 +97,20 @@ def _prefixes(docs: DataFrame, level, k: int, percent: int) -> DataFrame:
                 start = np.concatenate(([0], np.cumsum(n)))
                 print_ = [np.add.reduceat(np.append(mix(s ^ np.uint64(salt)), np.uint64(0)), start[:-1]) * (n > 0)
                           for salt in (0, 0x5851F42D4C957F2D)] if texts else []
-                order = np.lexsort((s, level.value[(s >> np.uint64(64 - BITS)).astype(np.int64)], of))
+                often = level.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.lexsort((s, often, of))
                 keep = n - -(-percent * n // 100) + 1
                 rank = np.arange(len(s)) - start[of]
                 kept = s[order][rank < keep[of]]  # ``of`` is sorted, so it fits the new order too
+                hot = per_text((often[order] >= HOT) & (rank < keep[of]), start)
                 ends = np.concatenate(([0], np.cumsum(np.minimum(keep, n)))).astype(np.int32)
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(w.lo, texts), pa.array(n.astype(np.int64)),
-                     *(pa.array(signed(p)) for p in print_), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(kept)))],
-                    ["doc_id", "n", "print_a", "print_b", "prefix"])
+                     *(pa.array(signed(p)) for p in print_), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(kept))),
+                     pa.array(hot.astype(np.int32))],
+                    ["doc_id", "n", "print_a", "print_b", "prefix", "hot"])
 
-    return docs.mapInArrow(scan, "doc_id long, n long, print_a long, print_b long, prefix array<long>")
+    return docs.mapInArrow(scan, "doc_id long, n long, print_a long, print_b long, prefix array<long>, hot int")
 
 
 def _full_sets(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -181,11 +193,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     key = (a[lo], block[lo])
                     query = np.frombuffer(data, np.uint64, int(n[lo]), int(first[lo])).copy()
                     lo += 1
-                if lo < hi and key == (a[lo], block[lo]):
-                    grams = np.frombuffer(data, np.uint64, int(n[lo:hi].sum()), int(first[lo]))
-                    found = b[lo:hi][_answers(query, n[lo:hi], grams, percent)]
+                while lo < hi and key == (a[lo], block[lo]):
+                    to = lo + max(1, int(np.searchsorted(np.cumsum(n[lo:hi]), AT_ONCE)))
+                    grams = np.frombuffer(data, np.uint64, int(n[lo:to].sum()), int(first[lo]))
+                    found = b[lo:to][_answers(query, n[lo:to], grams, percent)]
                     out_a.append(np.full(len(found), key[0]))
                     out_b.append(found)
+                    lo = to
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_a, out_b)], ["a", "b"])
 
     return (asking.union(asked).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
@@ -203,39 +217,50 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     document: where their texts differ, those of one of them are linked."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    level = spark.sparkContext.broadcast(_frequency(docs, k))  # 4 MB
-    found = scratch.table(_prefixes(docs, level, k, percent))
-    classes = scratch.table(
-        found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "print_a", "print_b")
-        .agg(F.min(F.struct("doc_id", "prefix")).alias("first"), F.count(F.lit(1)).alias("rows"))
-        .select(F.col("first.doc_id").alias("node"), "n", "print_a", "print_b", "rows",
-                F.col("first.prefix").alias("prefix")))
-    posted = classes.select("node", "n", F.explode("prefix").alias("gram"))
-    shared = scratch.table(posted.groupBy("gram").agg(F.count("node").alias("m")).where("m > 1"))
-    lists = scratch.table(posted.join(shared, "gram"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * docs.count()).bit_length()))
+    level = spark.sparkContext.broadcast(_frequency(docs, k, bits))  # 16 MB at most
+    found = scratch.table(_prefixes(docs, level, bits, k, percent))
+    # equal sets: the smallest id stands for all
+    same = scratch.table(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "print_a", "print_b")
+                         .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    found = found.join(scratch.bounded(same), ["n", "print_a", "print_b"], "left").withColumn(
+        "node", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
+    one = found.where("n > 0 AND doc_id = node")
+    posted = one.select("node", "n", F.posexplode("prefix").alias("at", "gram"),
+                        (F.size("prefix") - F.col("hot")).alias("cold")).withColumn("hot", F.expr("at >= cold"))
+    kept = ["gram", "node", "n", "at"]
+    # a list of one text is none; those of hot buckets are long, and not gathered to find that out
+    beside = Window.partitionBy("gram").orderBy("node")
+    cold = (posted.where("NOT hot").select(*kept)
+            .select("*", F.lag("node").over(beside).alias("p"), F.lead("node").over(beside).alias("q"))
+            .where("p IS NOT NULL OR q IS NOT NULL").drop("p", "q"))
+    lists = scratch.table(cold.union(posted.where("hot").select(*kept)))
     asked = scratch.table(lists.groupBy("node").agg(F.count("gram").alias("central")))
     sets = scratch.table(_full_sets(docs, scratch.table(
-        classes.select("node", "print_a").join(asked.select("node"), "node", "left_semi")), k))
-    lists = scratch.table(lists.join(scratch.bounded(asked), "node"))
+        one.select("node", "print_a").join(scratch.bounded(asked.select("node")), "node", "left_semi")), k))
+    lists = lists.join(scratch.bounded(asked), "node")
     links = connected = tried = None
     low, high = 0, 1
     while True:
         at = lists if connected is None else lists.join(scratch.bounded(connected), "node", "left")
         at = at.withColumn("c", F.coalesce("c", "node") if connected is not None else F.col("node"))
         if low == 0:  # the most central text of each list, without sorting lists
-            best = scratch.table(at.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "c")).alias("q")))
+            best = scratch.table(at.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "at", "c")).alias("q")))
             pairs = at.join(best, "gram").where("node <> q.node AND c <> q.c")
         else:
-            open_ = scratch.table(at.where(F.col("m") > low).groupBy("gram").agg(
-                F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gram"))
+            open_ = scratch.table(at.groupBy("gram").agg(
+                F.min("c").alias("x"), F.max("c").alias("y"), F.count("node").alias("m"))
+                .where(F.expr("x <> y") & (F.col("m") > low + 1)).select("gram"))
             if open_.isEmpty():
                 break
             ranked = scratch.table(at.join(open_, "gram").withColumn("r", F.row_number().over(
                 Window.partitionBy("gram").orderBy(F.desc("central"), "node")) - 1))
             q = ranked.where((F.col("r") >= low) & (F.col("r") < high)).select(
-                "gram", F.struct("node", "n", "c", "r").alias("q"))
+                "gram", F.struct("node", "n", "at", "c", "r").alias("q"))
             pairs = ranked.join(q, "gram").where("r > q.r AND c <> q.c")
-        pairs = pairs.where((100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n"))).select(
+        # two texts share nothing before their first common n-gram, and must share enough from there on
+        rest = F.least(F.col("n") - F.col("at"), F.col("q.n") - F.col("q.at"))
+        pairs = pairs.where((100 + percent) * rest >= percent * (F.col("n") + F.col("q.n"))).select(
             F.col("q.node").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -246,9 +271,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
             links = new if links is None else links.union(new)
             connected = scratch.table(components(links).withColumnRenamed("component", "c"))
         low, high = high, 4 * high + 1
-    same = scratch.table(classes.where("rows > 1").select("n", "print_a", "print_b", "node"))
-    rows = found.drop("prefix").join(scratch.bounded(same), ["n", "print_a", "print_b"], "left").withColumn(
-        "node", F.when(F.col("n") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
+    rows = found
     if connected is not None:
         rows = rows.join(scratch.bounded(connected), "node", "left")
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orderlytics.session import ensure_checkpoint_dir
 
 #: Most rows of a few narrow columns that a join may broadcast; beyond, it shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def _folder(spark: SparkSession) -> str:
