@@ -20,6 +20,9 @@ from orderlytics.llm import scratch
 
 #: Groups below this many rows are never salted.
 LEAST_HOT = 256
+#: Characters of a splitter. Splitters pass through the driver and must not grow
+#: with the texts; beyond these, texts are dealt out by digest and sorted in full.
+HEAD = 48
 
 
 def normalised(text: str | Column) -> Column:
@@ -45,10 +48,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = (rows.join(F.broadcast(hot), "sha", "left")  # at most 4n rows
               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)))
                           .otherwise(F.lit(-1).cast("bigint"))).drop("hot"))
-    order = Window.partitionBy("norm", "salt").orderBy(F.col("doc_id").asc_nulls_last())
+    salted = salted.withColumn("head", F.substring("norm", 1, HEAD))
+    order = (Window.partitionBy("head", "sha", "salt", "norm")
+             .orderBy(F.col("doc_id").asc_nulls_last()))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = scratch.table(
-        salted.repartitionByRange(n, "norm", "salt")
+        salted.repartitionByRange(n, "head", "sha", "salt")
         .select("doc_id", "sha", (F.col("salt") >= 0).alias("salted"),
                 F.first("doc_id").over(order).alias("first_id"),
                 F.row_number().over(order).alias("place"),
