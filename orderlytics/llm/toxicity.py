@@ -23,7 +23,7 @@ from orderlytics.llm.textscan import Scanner, Tally, find, pair, per_text, previ
 #: Most labelled rows that the models are fitted on, taken in the order of a hash of the id.
 SAMPLE = 12_000
 #: Smallest value of the test statistic (chi-squared, one degree) of a telling expression.
-TELLING = 15.0
+TELLING = 8.0
 #: Odds this many times the general ones, or less, tell nothing: topics and languages differ so.
 MARGIN = 4.0
 DISCOUNT = 0.75
