@@ -37,6 +37,8 @@ LEAST_BITS, MOST_BITS, PARTS = 12, 24, 64
 HOT = 8 * 17
 #: Texts that one task compares with one querying text.
 ASKED = 2000
+#: Narrow rows that a row with its set counts as.
+WIDE = 16
 #: N-grams of asked texts whose lists are in memory at once.
 AT_ONCE = 1 << 18
 
@@ -169,9 +171,10 @@ def _answers(query: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: i
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. A text asks its partners in
     blocks of about ASKED, its set first in each block."""
+    rows = pairs.count()
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("b") / F.lit(ASKED)).alias("blocks"))
-    cut = scratch.table(pairs.join(scratch.table(blocks), "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
+    cut = scratch.table(pairs.join(scratch.table(blocks, rows), "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), rows)
     asking = cut.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
         "a", "block", F.lit(None).cast("long").alias("b"), "n", "grams")
     asked = cut.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "n", "grams")
@@ -202,8 +205,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     lo = to
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_a, out_b)], ["a", "b"])
 
-    return (asking.union(asked).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-            .mapInArrow(ask, "a long, b long"))
+    dealt = asking.union(asked).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    # sorted partitions one after the other keep what belongs together in one piece; sets are wide rows
+    return scratch.few(dealt, WIDE * rows).mapInArrow(ask, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -239,22 +243,23 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     sets = scratch.table(_full_sets(docs, scratch.table(
         one.select("node", "print_a").join(scratch.bounded(asked.select("node")), "node", "left_semi")), k))
     lists = lists.join(scratch.bounded(asked), "node")
-    links = connected = tried = None
+    rows = lists.count()
+    connected = tried = None
     low, high = 0, 1
     while True:
         at = lists if connected is None else lists.join(scratch.bounded(connected), "node", "left")
         at = at.withColumn("c", F.coalesce("c", "node") if connected is not None else F.col("node"))
         if low == 0:  # the most central text of each list, without sorting lists
-            best = scratch.table(at.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "at", "c")).alias("q")))
+            best = scratch.table(at.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "at", "c")).alias("q")), rows)
             pairs = at.join(best, "gram").where("node <> q.node AND c <> q.c")
         else:
             open_ = scratch.table(at.groupBy("gram").agg(
                 F.min("c").alias("x"), F.max("c").alias("y"), F.count("node").alias("m"))
-                .where(F.expr("x <> y") & (F.col("m") > low + 1)).select("gram"))
+                .where(F.expr("x <> y") & (F.col("m") > low + 1)).select("gram"), rows)
             if open_.isEmpty():
                 break
             ranked = scratch.table(at.join(open_, "gram").withColumn("r", F.row_number().over(
-                Window.partitionBy("gram").orderBy(F.desc("central"), "node")) - 1))
+                Window.partitionBy("gram").orderBy(F.desc("central"), "node")) - 1), rows)
             q = ranked.where((F.col("r") >= low) & (F.col("r") < high)).select(
                 "gram", F.struct("node", "n", "at", "c", "r").alias("q"))
             pairs = ranked.join(q, "gram").where("r > q.r AND c <> q.c")
@@ -264,11 +269,11 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
             F.col("q.node").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs)
+        pairs = scratch.table(pairs, rows)
         tried = pairs if tried is None else tried.union(pairs)
-        new = scratch.table(_verified(pairs, sets, percent))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
+        new = None if pairs.isEmpty() else scratch.table(_verified(pairs, sets, percent))
+        if new is not None and not new.isEmpty():  # the components so far stand for the links so far
+            links = new if connected is None else new.union(connected)
             connected = scratch.table(components(links).withColumnRenamed("component", "c"))
         low, high = high, 4 * high + 1
     rows = found

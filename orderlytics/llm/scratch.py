@@ -11,17 +11,27 @@ from orderlytics.session import ensure_checkpoint_dir
 
 #: Most rows of a few narrow columns that a join may broadcast; beyond, it shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of a few narrow columns that one task writes at least, where a bound is known.
+TASK_ROWS = 100_000
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}"
 
 
-def table(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more partitions than those need:
+    a small shuffle is read by few tasks, whatever the session's setting."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back: the
     lineage is cut, each row is computed once, and the loss of an executor loses
-    nothing. ``clear`` removes the folder; until then it may be read again."""
+    nothing. ``rows`` is about how many it has, if known and narrow, for ``few``.
+    ``clear`` removes the folder; until then it may be read again."""
     spark = df.sparkSession
+    df = df if rows is None else few(df, rows)
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
