@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlytics.functions import day, money_total
@@ -78,15 +78,16 @@ def first_and_paid_days(user_actions: DataFrame, cancelled: DataFrame) -> DataFr
         F.min(F.when(F.col("_valid"), F.col("dt"))).alias("paid_date"))
 
 
-def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame):
-    """(dt, new_users) and (dt, new_paying_users), both read from the shuffle of
-    one per-user aggregate."""
+def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """dt, new_users, new_paying_users in one pass over the actions: each user's two
+    first days become two rows, counted by one aggregate."""
     firsts = first_and_paid_days(user_actions, cancelled)
-    new = firsts.groupBy(F.col("start_date").alias("dt")).agg(F.count("user_id").alias("new_users"))
-    paid = (firsts.filter(F.col("paid_date").isNotNull())
-            .groupBy(F.col("paid_date").alias("dt"))
-            .agg(F.count("user_id").alias("new_paying_users")))
-    return new, paid
+    both = firsts.select("user_id", F.explode(F.array(
+        F.struct(F.col("start_date").alias("dt"), F.lit(False).alias("paid")),
+        F.struct(F.col("paid_date").alias("dt"), F.lit(True).alias("paid")))).alias("first"))
+    return (both.select("user_id", "first.*").filter(F.col("dt").isNotNull()).groupBy("dt").agg(
+        F.count(F.when(~F.col("paid"), F.col("user_id"))).alias("new_users"),
+        F.count(F.when(F.col("paid"), F.col("user_id"))).alias("new_paying_users")))
 
 
 def daily_new_users(user_actions: DataFrame, name: str = "new_users") -> DataFrame:
@@ -116,16 +117,23 @@ def user_day_revenue(user_actions: DataFrame, cancelled: DataFrame,
             .agg(money_total("order_price").alias("revenue")))
 
 
-def first_day_revenue(user_actions: DataFrame, cancelled: DataFrame,
-                      prices: DataFrame) -> DataFrame:
+def first_day_revenue(user_actions: DataFrame, prices: DataFrame) -> DataFrame:
     """dt, new_users_revenue: what users spent on their first day, by that day.
     The first day counts all actions, cancelled ones too; a user whose first-day
-    orders were all cancelled contributes 0."""
-    starts = first_days(user_actions)
-    spent = user_day_revenue(user_actions, cancelled, prices).withColumnRenamed("dt", "start_date")
-    return (starts.join(spent, ["user_id", "start_date"], "left")
-            .groupBy(F.col("start_date").alias("dt"))
-            .agg(money_total(F.coalesce(F.col("revenue"), F.lit(0))).alias("new_users_revenue")))
+    orders were all cancelled contributes 0, as do actions without a user or day.
+
+    ``prices`` has valid orders only, so one pass over the actions gives both the
+    first day and the spending: the window runs over one row per user and day."""
+    spent = (user_actions.select("user_id", day("time").alias("dt"), "order_id")
+             .join(prices, "order_id", "left")
+             .groupBy("user_id", "dt").agg(money_total("order_price").alias("revenue")))
+    first = F.min("dt").over(Window.partitionBy("user_id"))
+    known = F.col("user_id").isNotNull() & F.col("dt").isNotNull()
+    return (spent.withColumn("start_date", first)
+            .filter(F.col("dt").eqNullSafe(F.col("start_date")))
+            .groupBy("dt")
+            .agg(money_total(F.when(known, F.coalesce(F.col("revenue"), F.lit(0))).otherwise(F.lit(0)))
+                 .alias("new_users_revenue")))
 
 
 def delivered_orders(courier_actions: DataFrame, cancelled: DataFrame) -> DataFrame:

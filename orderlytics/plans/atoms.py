@@ -527,7 +527,7 @@ def first_day_revenue(s, d):
     shop = _shop(s, d)
     cancelled = _cancelled(shop)
     prices = daily.order_price(facts.order_lines(shop, cancelled))
-    return _dbl(daily.first_day_revenue(shop.user_actions, cancelled, prices), "new_users_revenue")
+    return _dbl(daily.first_day_revenue(shop.user_actions, prices), "new_users_revenue")
 
 
 def daily_delivered(s, d):

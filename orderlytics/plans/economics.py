@@ -10,8 +10,8 @@ order headers against the cancelled ids and one join of headers to their lines
 (both keyed by order id, so one partitioning serves both), then a products
 lookup (broadcast only when its measured size allows). Each large input is read
 once per metric: several series are derived from one partial aggregate whose
-shuffle Spark reuses (E3, E5, E7), and user counts come from one pass over the
-actions (E2, E4). Windows run only over per-day series. A prepared shop
+shuffle Spark reuses (E7), and what is known of users comes from one pass over
+the actions (E2-E5). Windows run only over per-day series. A prepared shop
 (``plans.dashboard``) supplies the cancelled ids and priced lines from Parquet.
 """
 
@@ -65,7 +65,7 @@ def e3_running_arpu(shop: Shop) -> DataFrame:
     new users, new paying users and orders. Users who start on a day without
     revenue never enter the running counts (the series is the revenue days)."""
     cancelled, base = _day_kpis(shop)
-    t = daily.star(base, *daily.daily_new_users_and_payers(shop.user_actions, cancelled))
+    t = daily.star(base, daily.daily_new_users_and_payers(shop.user_actions, cancelled))
     rev = windows.running_sum("revenue")
     return t.select(
         "dt",
@@ -110,7 +110,7 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
         money_total("price").alias("order_price"))
     total = per_order_day.groupBy("dt").agg(money_total("order_price").alias("revenue"))
     prices = per_order_day.groupBy("order_id").agg(money_total("order_price").alias("order_price"))
-    new = daily.first_day_revenue(shop.user_actions, cancelled, prices)
+    new = daily.first_day_revenue(shop.user_actions, prices)
     share = percent("new_users_revenue", "revenue")
     return total.join(new, "dt", "left").select(
         "dt",

@@ -107,6 +107,15 @@ def test_no_raw_rows_reach_a_single_key_task(spark, name):
             assert _reduced_below(nodes, i), (name, text)
 
 
+@pytest.mark.parametrize("name, exchanges", [("e3_running_arpu", 1), ("e5_new_user_share", 2)])
+def test_users_are_read_in_one_pass(spark, name, exchanges):
+    """The actions are grouped once: per user (E3), or per user and day and then,
+    reduced, in the window per user (E5)."""
+    nodes = _tree(plan(QUERIES[name](spark, SF_SMALL)).split("== Initial Plan ==")[-1])
+    by_user = [t for _, t in nodes if t.startswith("Exchange hashpartitioning(user_id#")]
+    assert len(by_user) == exchanges, by_user
+
+
 def test_skew_join_split_is_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
