@@ -1,115 +1,196 @@
 """Selection score by cross-entropy difference.
 
-A target and a background bigram model over one closed vocabulary (the words most
-frequent in both corpora together, all others one unknown word), with the same
+A target and a background bigram model over all words of both corpora, with the same
 order, discount and smoothing. Every token costs its loss under either model; a
 document's score is the mean difference: below 0, it looks more like the target.
-All texts of both corpora are counted, in tasks and then by key; what reaches the
-driver is bounded by the square of the vocabulary.
+
+The counts of both corpora are one distributed table by (head, word); it and the
+table of words grow with the corpora. Documents ask for the losses of their distinct
+pairs by a join on the pair. Those of the commonest pairs, and the counts of the
+commonest words, are broadcast instead: that saves shuffling, and a pair in every
+document is no hot key; all others are looked up just the same.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.llm.textscan import Scanner, Tally, find, per_text, signed
+from orderlytics.llm import scratch
+from orderlytics.llm.textscan import Scanner, Tally, find, pair, per_text, previous, signed
 
-#: Ids of the vocabulary: words, then the unknown word, then the start of a text.
-IDS = 2048
 DISCOUNT = 0.75
-
-
-def _both(target: DataFrame, background: DataFrame, text_col: str) -> DataFrame:
-    return (target.select(F.col(text_col).alias("text"), F.lit(1).alias("target"))
-            .unionByName(background.select(F.col(text_col).alias("text"), F.lit(0).alias("target"))))
-
-
-def _vocabulary(texts: DataFrame, ids: int) -> np.ndarray:
-    """Sorted hashes of the ``ids - 2`` most frequent words (ties: smaller hash)."""
+#: Most pairs whose losses are broadcast, the commonest first; the others are joined.
+COMMON = 1 << 19
+#: Distinct pairs that a task holds before it passes them on.
+HELD = 1 << 20
+#: Counts of a word as head (tokens and kinds of words after it) and as word.
+HEAD, WORD = ["total_t", "total_b", "kinds_t", "kinds_b"], ["word_t", "word_b"]
+#: Columns of what documents ask: a row per document (code NULL), and one per pair.
+ASKED = ["row", "doc_id", "code", "n", "target_loss", "background_loss"]
+
+
+def _texts(docs: DataFrame, target: DataFrame, background: DataFrame, text_col: str) -> DataFrame:
+    """text, t, b (1 where it counts) of both corpora; pairs of ``docs`` that are not
+    the background are listed without counting."""
+    def part(df, t, b):
+        return df.select(F.col(text_col).alias("text"), F.lit(t).alias("t"), F.lit(b).alias("b"))
+    both = part(target, 1, 0).unionByName(part(background, 0, 1))
+    return both if docs is background else both.unionByName(part(docs, 0, 0))
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """head, word (hashes; head 0 at the start of a text), t, b: every pair with its
+    number in the target and in the background."""
     def count(batches):
+        def flush():
+            if merged := tally.merge():
+                _, counts, keys = merged
+                for i in range(0, len(keys[0]), 1 << 17):
+                    cut = slice(i, i + (1 << 17))
+                    yield pa.record_batch([*(pa.array(signed(x)[cut]) for x in keys), *(pa.array(x[cut]) for x in counts)],
+                                          ["head", "word", "t", "b"])
+
         scanner, tally = Scanner(lower=True), Tally()
         for batch in batches:
+            t, b = (batch.column(c).to_numpy() for c in ("t", "b"))
             for w in scanner.blocks(batch.column("text")):
-                tally.add(w.hash, [np.ones(len(w.hash))])
-        if merged := tally.merge():
-            for i in range(0, len(merged[0]), 1 << 17):
-                yield pa.record_batch([pa.array(signed(merged[0][i:i + (1 << 17)])),
-                                       pa.array(merged[1][0][i:i + (1 << 17)])], ["word", "n"])
-
-    top = (texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(ids - 2))
-    return np.sort(np.array([r["word"] for r in top.select("word").collect()], np.int64).view(np.uint64))
-
-
-def _codes(words, vocabulary: np.ndarray, ids: int) -> np.ndarray:
-    """head * ids + word of every token."""
-    word = find(vocabulary, words.hash)
-    word[word == len(vocabulary)] = ids - 2
-    head = np.empty_like(word)
-    head[1:] = word[:-1]
-    head[words.first[:-1][np.diff(words.first) > 0]] = ids - 1
-    return head * ids + word
-
+                n, head = np.diff(w.first), previous(w)
+                of = slice(w.lo, w.lo + len(n))
+                tally.add(pair(head, w.hash), [np.repeat(t[of], n), np.repeat(b[of], n)], (head, w.hash))
+                if tally.size > HELD:  # merged already, where that was due
+                    tally.merge()
+                    if tally.size > HELD // 2:
+                        yield from flush()
+                        tally = Tally()
+        yield from flush()
+
+    return (texts.mapInArrow(count, "head long, word long, t long, b long").groupBy("head", "word")
+            .agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+
+
+def _words(pairs: DataFrame) -> DataFrame:
+    """word with its counts, HEAD and WORD; word 0 is the start of a text."""
+    none = F.lit(0).cast("long")
+    as_head = [F.col("t"), F.col("b"), (F.col("t") > 0).cast("long"), (F.col("b") > 0).cast("long"), none, none]
+    as_word = [none] * 4 + [F.col("t"), F.col("b")]
+    names = HEAD + WORD
+    both = (pairs.select("head", *(c.alias(x) for c, x in zip(as_head, names))).withColumnRenamed("head", "word")
+            .unionByName(pairs.select("word", *(c.alias(x) for c, x in zip(as_word, names)))))
+    return both.groupBy("word").agg(*(F.sum(x).alias(x) for x in names))
+
+
+def _common(df: DataFrame, n: Column, most: int) -> Column:
+    """Condition that holds for the rows with the largest ``n``, ``most`` at most."""
+    rank = F.floor(4 * F.log2(n + 1))
+    least, held = 1 << 20, 0
+    for r in df.groupBy(rank.alias("rank")).count().orderBy(F.desc("rank")).collect():  # a few hundred ranks
+        held += r["count"]
+        if held > most:
+            break
+        least = r["rank"]
+    return rank >= least
+
+
+def _joined(pairs: DataFrame, hot: DataFrame, cold: DataFrame | None, key: str, counts: list[str]) -> DataFrame:
+    """``pairs`` with the ``counts`` of the word in ``key``: of ``hot`` by broadcast,
+    of ``cold``, where there are such words, by a shuffled join."""
+    hot, cold = (None if df is None else df.select(F.col("word").alias("_word"), *counts) for df in (hot, cold))
+    found = pairs.join(F.broadcast(hot), pairs[key] == F.col("_word"), "left")  # at most BROADCAST_ROWS rows
+    known = found.where("_word IS NOT NULL").drop("_word")
+    if cold is None:
+        return known
+    others = found.where("_word IS NULL").select(*pairs.columns)
+    return known.unionByName(others.join(cold, others[key] == F.col("_word")).drop("_word"))
+
+
+def _losses(pairs: DataFrame, total: tuple[int, int], n: int) -> DataFrame:
+    """code (hash of head and word), target_loss, background_loss: -log p(word | head)
+    of interpolated, absolutely discounted bigram models; the words alone are smoothed
+    by adding one to each of ``n``."""
+    def compute(batches):
+        for batch in batches:
+            c = {x: batch.column(x).to_numpy() for x in batch.schema.names}
+            rows = [pa.array(signed(pair(c["head"].view(np.uint64), c["word"].view(np.uint64))))]
+            for x, tokens in zip("tb", total):
+                alone = (c[f"word_{x}"] + 1) / (tokens + n)
+                heads = np.maximum(c[f"total_{x}"], 1)
+                back = np.where(c[f"total_{x}"] > 0, DISCOUNT * c[f"kinds_{x}"] / heads, 1.0)
+                rows.append(pa.array(-np.log(np.maximum(c[x] - DISCOUNT, 0) / heads + back * alone).astype(np.float32)))
+            yield pa.record_batch(rows, ["code", "target_loss", "background_loss"])
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p(word | head) of an interpolated, absolutely discounted bigram model
-    with counts [head, word]; the words alone are smoothed by adding one."""
-    n = len(counts)
-    alone = (counts.sum(0) + 1) / (counts.sum() + n)
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-    return -np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1) + back * alone).astype(np.float64)
+    return pairs.mapInArrow(compute, "code long, target_loss float, background_loss float")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, id_col: str = "doc_id",
-                             text_col: str = "text", ids: int = IDS) -> DataFrame:
+                             text_col: str = "text", ids: int | None = None, common: int = COMMON) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss
     (nats a token) and score, their difference.
 
-    NULL and empty texts count nothing, and score 0 with losses 0. Empty corpora
-    give the smoothed model without counts. NULL and repeated ids are scored as
-    they come; repeated rows count as often as they occur."""
-    texts = _both(target, background, text_col)
+    The words alone are smoothed over all words of both corpora and two more, or over
+    ``ids`` if that is more; no word is left out for either. ``common`` is the number
+    of pairs that are broadcast and changes no result. NULL and empty texts count
+    nothing, and score 0 with losses 0. Empty corpora give the smoothed model without
+    counts. NULL and repeated ids are scored as they come; repeated rows count as
+    often as they occur."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(_vocabulary(texts, ids))
-
-    def count(batches):
-        scanner, tally = Scanner(lower=True), Tally()
-        for batch in batches:
-            of = np.array(batch.column("target").to_pylist())
-            for w in scanner.blocks(batch.column("text")):
-                here = np.repeat(of[w.lo:w.lo + len(w.first) - 1], np.diff(w.first))
-                tally.add(_codes(w, vocabulary.value, ids), [here, 1 - here])
-        if merged := tally.merge():
-            keys, (t, b), _ = merged
-            for i in range(0, len(keys), 1 << 17):
-                yield pa.record_batch([pa.array(x[i:i + (1 << 17)]) for x in (keys, t, b)], ["code", "t", "b"])
-
-    found = (texts.mapInArrow(count, "code long, t long, b long").groupBy("code")
-             .agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow())  # at most ids * ids rows
-    code = found.column("code").to_numpy()
-    tables = []
-    for c in ("t", "b"):
-        dense = np.zeros(ids * ids)
-        dense[code] = found.column(c).to_numpy()
-        tables.append(losses(dense.reshape(ids, ids)).ravel().astype(np.float32))
-    shared = spark.sparkContext.broadcast(tables)  # 2 * ids * ids numbers
-
-    def score(batches):
+    pairs = scratch.table(_pairs(_texts(docs, target, background, text_col)))
+    words = scratch.table(_words(pairs))
+    size = words.agg(F.sum("word_t"), F.sum("word_b"), F.count_if(F.expr("word_t + word_b > 0")), F.count(F.lit(1))).first()
+    total, n = (size[0] or 0, size[1] or 0), max(ids or 0, size[2] + 2)
+    hot = cold = None
+    if size[3] > scratch.BROADCAST_ROWS:
+        often = _common(words, F.col("total_t") + F.col("total_b") + F.col("word_t") + F.col("word_b"), scratch.BROADCAST_ROWS)
+        hot, cold = words.where(often), words.where(~often)
+    often = _common(pairs, F.col("t") + F.col("b"), common)
+
+    def losses(some: DataFrame) -> DataFrame:
+        some = _joined(some, words if hot is None else hot, cold, "word", WORD)
+        return _losses(_joined(some, words if hot is None else hot, cold, "head", HEAD), total, n)
+
+    known = losses(pairs.where(often)).toArrow()  # at most ``common`` rows
+    code, *loss = (known.column(c).to_numpy() for c in ("code", "target_loss", "background_loss"))
+    order = np.argsort(code.view(np.uint64))
+    # a pair that is not common adds nothing here
+    shared = spark.sparkContext.broadcast([code.view(np.uint64)[order], *(np.append(x[order], np.float32(0)) for x in loss)])
+
+    def ask(batches):
         scanner = Scanner(lower=True)
+        codes, *tables = shared.value
         for batch in batches:
-            rows = [np.zeros((3, 0))]
+            row = batch.column("row")
+            kind = batch.column("doc_id").type
             for w in scanner.blocks(batch.column("text")):
-                codes = _codes(w, vocabulary.value, ids)
-                rows.append(np.stack([np.diff(w.first), *(per_text(t[codes], w.first) for t in shared.value)]))
-            n, t, b = np.concatenate(rows, 1)
-            each = np.maximum(n, 1)
-            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, (n.astype(np.int64), t / each, b / each, (t - b) / each))],
-                                  ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+                size = np.diff(w.first)
+                code = pair(previous(w), w.hash)
+                place = find(codes, code)
+                here = slice(w.lo, w.lo + len(size))
+                yield pa.record_batch([row[here], batch.column("doc_id")[here], pa.nulls(len(size), pa.int64()), pa.array(size),
+                                       *(pa.array(per_text(t[place], w.first)) for t in tables)], ASKED)
+                rare = np.flatnonzero(place == len(codes))
+                of, code = np.repeat(np.arange(len(size)), size)[rare], code[rare]
+                order = np.lexsort((code, of))
+                of, code = of[order], code[order]
+                new = np.ones(len(of), dtype=bool)
+                new[1:] = (of[1:] != of[:-1]) | (code[1:] != code[:-1])
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(of)))
+                rows = row.to_numpy()[here][of[at]]
+                for i in range(0, len(at), 1 << 16):
+                    cut = slice(i, min(len(at), i + (1 << 16)))
+                    m = cut.stop - cut.start
+                    yield pa.record_batch([pa.array(rows[cut]), pa.nulls(m, kind), pa.array(signed(code[at[cut]])),
+                                           pa.array(times[cut]), *(pa.nulls(m, pa.float64()),) * 2], ASKED)
+
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    asked = scratch.table(source.mapInArrow(
+        ask, f"row long, doc_id {kind}, code long, n long, target_loss double, background_loss double"))
+    rare = (asked.where("code IS NOT NULL").select("row", "code", "n").join(losses(pairs.where(~often)), "code")
+            .groupBy("row").agg(*(F.sum(F.col("n") * F.col(c).cast("double")).alias(c) for c in ASKED[-2:])))
+    rows = asked.where("code IS NULL").drop("code").join(rare.withColumnsRenamed({c: f"_{c}" for c in ASKED[-2:]}), "row", "left")
+    each = F.greatest("n", F.lit(1))
+    t, b = ((F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))) / each for c in ASKED[-2:])
+    return rows.select("doc_id", F.col("n").alias("n_tokens"), t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

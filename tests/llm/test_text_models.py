@@ -53,6 +53,29 @@ def test_lm_score_by_hand(spark):
         assert all(abs(r["score"] - (r["target_loss"] - r["background_loss"])) < 1e-9 for r in out)
 
 
+def test_lm_score_learns_every_word(spark):
+    """More words than any former cap of 2046; rare ones tell target from background,
+    whether their pairs are broadcast or joined."""
+    from orderlytics.llm import scratch
+    target = [(i, f"common words with rare{i} rare{i} here") for i in range(1500)]
+    back = [(i, f"common words with other{i} other{i} here") for i in range(1500)]
+    docs = [(1, "rare7 rare7 here"), (2, "other7 other7 here"), (3, "rare8 other9 never seen"), (None, "rare7 rare7 here"), (4, None)]
+    every = sorted(back + docs, key=str)
+    want = by_hand(every, target, len({w for _, t in target + every for w in (t or "").split()}) + 2)
+    for common, held in ((1 << 19, 500_000), (10, 100), (0, 500_000)):
+        old, scratch.BROADCAST_ROWS = scratch.BROADCAST_ROWS, held
+        try:
+            docs_of = frame(spark, every)
+            out = lm_score.cross_entropy_difference(docs_of, frame(spark, target), docs_of, common=common).collect()
+            few = lm_score.cross_entropy_difference(
+                frame(spark, [(i, f"common words with {t}") for i, t in docs]), frame(spark, target), frame(spark, back), common=common).collect()
+        finally:
+            scratch.BROADCAST_ROWS = old
+        assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in out) == want
+        score = {r["doc_id"]: r["score"] for r in few}
+        assert score[1] < 0 < score[2]
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     for rows, some in ((ODD, labels), ([], labels), (ODD, labels.limit(0))):
