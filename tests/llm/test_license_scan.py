@@ -54,3 +54,26 @@ def test_cosine_by_brute_force(spark):
     for r in license_scan.own_licences(df, ["doc_id"]).collect():
         best = max([cosine(vector(w), t) for w in lines[r["doc_id"]] if w for t in templates], default=0)
         assert abs(r["score"] - best) < 1e-9
+
+
+def test_notice_among_other_words_or_wrapped(spark):
+    texts = [
+        ("Apache-2.0", "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0."),
+        ("MIT", "Copyright (c) 2021 Jane Doe. Released under the MIT License."),
+        ("Apache-2.0", "some words before\n# Licensed under the Apache\n# License, Version 2.0 and more words after it"),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'),
+        ("MIT", "MIT License"), ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody Else"),
+        ("Apache-2.0", "Apache License\n   Version 2.0, January 2004"),
+        ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-only\nint main"), ("MIT", "# SPDX-License-Identifier: MIT"),
+        (None, "SPDX-License-Identifier: Zlib"), (None, "the mit and the license of the free world"),
+        ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                    "Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"),
+        ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+        (None, ""), (None, None),
+    ]
+    rows = [(i, None, t, "x", 1) for i, (_, t) in enumerate(texts)]
+    rows += [(100 + i, None, f"{a} other{i} text{i}\nand you for not copyright", "x", 1) for i in range(300) for a in ("the of this", "in any")]
+    out = {r["doc_id"]: r["licence"] for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[i] for i in range(len(texts))] == [n for n, _ in texts]
+    assert all(v is None for i, v in out.items() if i >= 100)
