@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each over all that the one
 before it kept, with its result stored and read again.
 
-Ids are taken to be unique; rows without id pass every stage untouched by its links.
+Copies are dropped by row, whatever their ids; the stages after that take ids to be
+unique, and rows without id pass them untouched by their links.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of equal texts."""
-    found = exact_dedup.exact_dedup(docs)
-    return _without(docs, found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"))
+    """One row, that with the smallest id, of each group of equal texts: of rows
+    repeated with one id, and of copies without id, one too."""
+    return exact_dedup.exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,18 +32,20 @@ def normalised(text: str | Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                n: int | None = None, least_hot: int = LEAST_HOT) -> DataFrame:
+                n: int | None = None, least_hot: int = LEAST_HOT, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id (smallest id of the equal texts),
     group_size, kept, text_sha256 (of the normalised text). Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read, unless ``carry`` adds row, a struct of all its columns.
 
     NULL texts equal empty ones. NULL ids come last: one stays only if no row of
     the group has an id. Of rows repeated with the same id and text, one stays.
     An empty table gives an empty result."""
     n = n or scratch.partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"),
+                       *([F.struct(*docs.columns).alias("row")] if carry else []))
+    more = ["row"] if carry else []
     rows = rows.withColumn("sha", F.sha2("norm", 256))
-    hot = (rows.groupBy("sha").count().orderBy(F.desc("count"), "sha").limit(4 * n)
+    hot = (rows.select("sha").groupBy("sha").count().orderBy(F.desc("count"), "sha").limit(4 * n)
            .where(F.col("count") >= least_hot).select("sha", F.lit(True).alias("hot")))
     salted = (rows.join(F.broadcast(hot), "sha", "left")  # at most 4n rows
               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)))
@@ -57,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", "sha", (F.col("salt") >= 0).alias("salted"),
                 F.first("doc_id").over(order).alias("first_id"),
                 F.row_number().over(order).alias("place"),
-                F.count(F.lit(1)).over(whole).alias("size")))
+                F.count(F.lit(1)).over(whole).alias("size"), *more))
     parts = (found.where("salted AND place = 1").groupBy("sha")
              .agg(F.min("first_id").alias("hot_id"), F.sum("size").alias("hot_size")))
     joined = found.join(F.broadcast(parts), "sha", "left")  # at most 4n rows
@@ -66,4 +68,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", keep.alias("keep_id"),
         F.when(F.col("salted"), F.col("hot_size")).otherwise(F.col("size")).alias("group_size"),
         ((F.col("place") == 1) & F.col("first_id").eqNullSafe(keep)).alias("kept"),
-        F.col("sha").alias("text_sha256"))
+        F.col("sha").alias("text_sha256"), *more)

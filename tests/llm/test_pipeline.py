@@ -41,6 +41,17 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed} == cut.keys()
 
 
+def test_copies_with_one_id_or_none(spark):
+    rows = [(1, "a  b", "en"), (1, "a b", "en"), (1, "a b", "en"), (2, "a\nb", "de"), (None, "a b", "de"), (None, "c", "x"),
+            (None, "c", "x"), (3, "d", "y"), (3, "e", "y"), (4, "e", "y"), (5, None, "z"), (6, "", "z")]
+    rows += [(None, "hot", "h")] * 400 + [(i, "hot", "h") for i in (9, 9, 8, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = cp.drop_copies(spark, docs, DIR)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], (r["text"] or "").split(), r["lang"]) for r in out.collect()), key=str) == sorted(
+        [(1, ["a", "b"], "en"), (None, ["c"], "x"), (3, ["d"], "y"), (3, ["e"], "y"), (5, [], "z"), (8, ["hot"], "h")], key=str)
+
+
 def _shingles(text):
     w = re.sub(r"[A-Z]", lambda m: m.group().lower(), text or "").encode().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
