@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlytics.llm import (exact_dedup, license_scan, lm_score, ngram_join, packing, permutation_index,
+from orderlytics.llm import (bwt_dedup, exact_dedup, license_scan, lm_score, ngram_join, packing, permutation_index,
                              quality, ranked_search, rtree_negatives, scratch, sentencepiece_codec, substring_dedup,
                              toxicity)
 
@@ -95,6 +95,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
 
 
+def op13_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is left of each document."""
+    cut = bwt_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP4_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
            FROM documents),
@@ -141,12 +148,32 @@ WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE la
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
 
+# Bytes are pairs of hexadecimal digits here.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     g AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s
+           FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+     m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING count(*) > 1),
+     hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM g JOIN m USING (s) WHERE least < doc_id),
+     run AS (SELECT r, min(p) AS a, max(p) + 50 AS b
+             FROM (SELECT r, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit)
+             GROUP BY r, k),
+     part AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS last_b FROM run),
+     cut AS (SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS tail,
+                    string_agg(substr(h, 2 * last_b + 1, 2 * (a - last_b)), '' ORDER BY a) AS head
+             FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_lm_score, op3_toxicity, op4_exact_dedup, op5_best_fit_packing,
                                    op6_ngram_join, op7_quality, op8_nearest, op9_substring_dedup, op10_license_scan, op11_ranked_search,
-                                   op12_hard_negatives)}
+                                   op12_hard_negatives, op13_bwt_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_hard_negatives": OP12_SQL,
+            "op13_bwt_dedup": OP13_SQL}
