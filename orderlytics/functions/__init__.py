@@ -2,6 +2,7 @@ from orderlytics.functions.columns import (  # noqa: F401
     COUNT_DEC,
     MONEY,
     MONEY_SUM,
+    amount,
     day,
     day_name,
     day_number,

@@ -15,6 +15,8 @@ MONEY = DecimalType(12, 2)
 # quotient is exact half-away-from-zero rounding of the true ratio.
 MONEY_SUM = DecimalType(20, 2)
 COUNT_DEC = DecimalType(20, 0)
+# What the metrics return for money and ratios.
+AMOUNT = DecimalType(38, 2)
 
 
 def col(c: str | Column) -> Column:
@@ -90,6 +92,11 @@ def percent(num: str | Column, den: str | Column) -> Column:
     return ratio(col(num).cast(MONEY_SUM) * F.lit(100), den)
 
 
+def amount(c: str | Column) -> Column:
+    """Final type of money and ratios (applied after rounding): exact."""
+    return col(c).cast(AMOUNT)
+
+
 def out_num(c: str | Column) -> Column:
-    """Final output type for money and ratios (applied after rounding)."""
+    """Money or a ratio as DOUBLE, for consumers without decimals."""
     return col(c).cast("double")

@@ -10,6 +10,8 @@ from orderlytics.sources.params import CostModel, VatRule
 
 
 def _reduced(rule: VatRule) -> Column:
+    if isinstance(rule.reduced, DataFrame):
+        return F.col("_reduced")
     if isinstance(rule.reduced, Column):
         return rule.reduced
     # A bounded parameter list: Catalyst turns it into a hash-set lookup.
@@ -23,11 +25,16 @@ def inclusive_vat(price: Column, rate: int) -> Column:
 
 
 def line_vat(lines: DataFrame, rule: VatRule) -> DataFrame:
-    """Add ``tax`` per line. Products of unknown name take the standard rate."""
+    """Add ``tax`` per line. Products of unknown name take the standard rate. A table of
+    names is joined, broadcast only if its measured size allows."""
     price = F.col("price")
-    tax = (F.when(_reduced(rule), inclusive_vat(price, rule.reduced_rate))
+    reduced = _reduced(rule)
+    if isinstance(rule.reduced, DataFrame):
+        names = rule.reduced.select("name").distinct().withColumn("_reduced", F.lit(True))
+        lines = lines.join(names, "name", "left").select(*lines.columns, "_reduced")
+    tax = (F.when(reduced, inclusive_vat(price, rule.reduced_rate))
            .otherwise(inclusive_vat(price, rule.standard_rate)))
-    return lines.withColumn("tax", tax)
+    return lines.withColumn("tax", tax).drop("_reduced")
 
 
 def daily_costs(df: DataFrame, model: CostModel) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlytics.functions import day, money_total
 from orderlytics.operators.facts import valid
+from orderlytics.operators.skew import HotKeys, split_join
 from orderlytics.sources.tables import DELIVER
 
 
@@ -39,7 +40,15 @@ def daily_paying_users(user_actions: DataFrame, cancelled: DataFrame) -> DataFra
         F.count_distinct("user_id").alias("paying_users"))
 
 
-def users_and_payers(user_actions: DataFrame, cancelled: DataFrame, key) -> DataFrame:
+def _flagged(actions: DataFrame, cancelled: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """``actions`` with ``_valid``: they have an order id, of an order never cancelled.
+    An order cancelled twice repeats its actions."""
+    marks = cancelled.withColumn("_cancelled", F.lit(True))
+    marked = split_join(actions, marks, "order_id", "left", hot, once=True)
+    return marked.withColumn("_valid", F.col("order_id").isNotNull() & F.col("_cancelled").isNull())
+
+
+def users_and_payers(user_actions: DataFrame, cancelled: DataFrame, key, hot: HotKeys | None = None) -> DataFrame:
     """<key>, users, paying_users in one pass over the actions: distinct users
     with any action, and distinct users with an action on a valid order.
 
@@ -48,11 +57,7 @@ def users_and_payers(user_actions: DataFrame, cancelled: DataFrame, key) -> Data
     counted. The same answer as two COUNT(DISTINCT) queries, with one scan and
     no row expansion."""
     key = key.alias("_k") if not isinstance(key, str) else F.col(key).alias("_k")
-    flagged = (user_actions
-               .join(cancelled.withColumn("_cancelled", F.lit(True)), "order_id", "left")
-               .select(key, "user_id",
-                       (F.col("order_id").isNotNull() & F.col("_cancelled").isNull())
-                       .alias("_valid")))
+    flagged = _flagged(user_actions.select(key, "user_id", "order_id"), cancelled, hot)
     per_user = flagged.groupBy("_k", "user_id").agg(F.max("_valid").alias("_paid"))
     return per_user.groupBy("_k").agg(
         F.count("user_id").alias("users"),
@@ -64,24 +69,21 @@ def first_days(user_actions: DataFrame) -> DataFrame:
     return user_actions.groupBy("user_id").agg(F.min(day("time")).alias("start_date"))
 
 
-def first_and_paid_days(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
+def first_and_paid_days(user_actions: DataFrame, cancelled: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """user_id, start_date, paid_date: the first day a user did anything and the
     first day they acted on a valid order, from one aggregate over the actions
     (each action flagged by a left join to the cancelled ids)."""
-    flagged = (user_actions
-               .join(cancelled.withColumn("_cancelled", F.lit(True)), "order_id", "left")
-               .select("user_id", day("time").alias("dt"),
-                       (F.col("order_id").isNotNull() & F.col("_cancelled").isNull())
-                       .alias("_valid")))
+    flagged = _flagged(user_actions.select("user_id", day("time").alias("dt"), "order_id"), cancelled, hot)
     return flagged.groupBy("user_id").agg(
         F.min("dt").alias("start_date"),
         F.min(F.when(F.col("_valid"), F.col("dt"))).alias("paid_date"))
 
 
-def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame) -> DataFrame:
+def daily_new_users_and_payers(user_actions: DataFrame, cancelled: DataFrame,
+                               hot: HotKeys | None = None) -> DataFrame:
     """dt, new_users, new_paying_users in one pass over the actions: each user's two
     first days become two rows, counted by one aggregate."""
-    firsts = first_and_paid_days(user_actions, cancelled)
+    firsts = first_and_paid_days(user_actions, cancelled, hot)
     both = firsts.select("user_id", F.explode(F.array(
         F.struct(F.col("start_date").alias("dt"), F.lit(False).alias("paid")),
         F.struct(F.col("paid_date").alias("dt"), F.lit(True).alias("paid")))).alias("first"))
@@ -117,15 +119,15 @@ def user_day_revenue(user_actions: DataFrame, cancelled: DataFrame,
             .agg(money_total("order_price").alias("revenue")))
 
 
-def first_day_revenue(user_actions: DataFrame, prices: DataFrame) -> DataFrame:
+def first_day_revenue(user_actions: DataFrame, prices: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """dt, new_users_revenue: what users spent on their first day, by that day.
     The first day counts all actions, cancelled ones too; a user whose first-day
     orders were all cancelled contributes 0, as do actions without a user or day.
 
-    ``prices`` has valid orders only, so one pass over the actions gives both the
-    first day and the spending: the window runs over one row per user and day."""
-    spent = (user_actions.select("user_id", day("time").alias("dt"), "order_id")
-             .join(prices, "order_id", "left")
+    ``prices`` has valid orders only, one row each, so one pass over the actions gives
+    both the first day and the spending: the window runs over one row per user and day."""
+    acts = user_actions.select("user_id", day("time").alias("dt"), "order_id")
+    spent = (split_join(acts, prices, "order_id", "left", hot, once=True)
              .groupBy("user_id", "dt").agg(money_total("order_price").alias("revenue")))
     first = F.min("dt").over(Window.partitionBy("user_id"))
     known = F.col("user_id").isNotNull() & F.col("dt").isNotNull()

@@ -4,7 +4,7 @@ keys sort last, as in the reference's SQL dialect.
 
 A window with no partition runs in one task. These helpers are meant for
 aggregated series (one row per day or per campaign-day); their size grows with
-the calendar, not with the data."""
+the calendar, not with the data. For tables of any size see ``operators.prefix``."""
 
 from __future__ import annotations
 

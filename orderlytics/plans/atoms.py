@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlytics.functions import (MONEY_SUM, day, day_name, day_number, iso_dow, label,
                                    money_total, month_start, out_num, ratio, round2)
-from orderlytics.operators import cohorts, costs, daily, facts, shares, windows
+from orderlytics.operators import cohorts, costs, daily, facts, prefix, shares, windows
 from orderlytics.plans import oracle as o
 from orderlytics.sources import testdata as td
 from orderlytics.sources.params import CAMPAIGN_LABEL as CAMPAIGN_LABEL_DEFAULT
@@ -102,7 +102,7 @@ def filter_and(s, d):
 
 
 def filter_in_list(s, d):
-    return (facts.tag_campaign(_shop(s, d).user_actions, td.campaigns())
+    return (facts.reported(_shop(s, d).user_actions, td.campaigns())
             .select("user_id", "order_id", "ads_campaign"))
 
 
@@ -200,8 +200,8 @@ def campaign_totals_join(s, d):
 
 # ----------------------------------------------------------- 2.4 aggregates
 def agg_sum(s, d):
-    return _dbl(_lines(_shop(s, d)).groupBy("product_id").agg(money_total("price").alias("revenue")),
-                "revenue")
+    return _dbl(facts.product_revenue(_shop(s, d)).groupBy("product_id").agg(
+        money_total("revenue").alias("revenue")), "revenue")
 
 
 def _vat_lines(shop):
@@ -294,7 +294,7 @@ def win_min(s, d):
 
 
 def win_min_two_keys(s, d):
-    acts = facts.tag_campaign(td.activity(s, d).select("user_id", "time"), td.campaigns())
+    acts = facts.reported(td.activity(s, d).select("user_id", "time"), td.campaigns())
     rows = acts.select("ads_campaign", "user_id", day("time").alias("dt"))
     return facts.aggregate_over(rows, ["ads_campaign", "user_id"], F.min("dt"), "start_date")
 
@@ -357,6 +357,30 @@ def win_row_number(s, d):
                     windows.row_number("dt", ["ads_campaign"]).alias("day_number"))
 
 
+# ------------------------------------- 2.5 windows over raw rows, range by range
+def line_running_revenue(s, d):
+    """Revenue up to each order line's moment, over all lines in time."""
+    lines = _lines(_shop(s, d)).select("order_id", "product_id", "creation_time", "price")
+    return _dbl(prefix.running_totals(lines, ["price"], ["creation_time"]), "price", "total_price")
+
+
+def user_running_revenue(s, d):
+    """What each campaign user has spent up to each of their order lines."""
+    lines = facts.campaign_order_lines(_shop(s, d), td.campaigns()).select("user_id", "time", "order_id", "price")
+    return _dbl(prefix.running_totals(lines, ["price"], ["time"], ["user_id"]), "price", "total_price")
+
+
+def previous_action(s, d):
+    """Each action with the time of the same user's action before it."""
+    acts = _shop(s, d).user_actions
+    return prefix.lag(acts, "time", ["time", "order_id", "action"], "previous_time", ["user_id"])
+
+
+def action_number(s, d):
+    """The whole action log numbered in time."""
+    return prefix.row_number(_shop(s, d).user_actions, ["time", "user_id", "order_id", "action"], "number")
+
+
 # ---------------------------------------------------------------- 2.6 sorts
 def sort_asc(s, d):
     return _dbl(_daily(_shop(s, d)), "revenue").orderBy(F.col("dt").asc_nulls_last())
@@ -404,7 +428,7 @@ def fn_day_name(s, d):
 
 
 def fn_concat_label(s, d):
-    t = facts.tag_campaign(_shop(s, d).user_actions, td.campaigns())
+    t = facts.reported(_shop(s, d).user_actions, td.campaigns())
     return t.select("order_id", label(CAMPAIGN_LABEL, "ads_campaign").alias("ads_campaign"))
 
 
@@ -527,7 +551,7 @@ def first_day_revenue(s, d):
     shop = _shop(s, d)
     cancelled = _cancelled(shop)
     prices = daily.order_price(facts.order_lines(shop, cancelled))
-    return _dbl(daily.first_day_revenue(shop.user_actions, prices), "new_users_revenue")
+    return _dbl(daily.first_day_revenue(shop.user_actions, prices, facts.hot_orders(shop)), "new_users_revenue")
 
 
 def daily_delivered(s, d):
@@ -600,9 +624,9 @@ def fold_small_groups(s, d):
 
 
 def user_avg_check(s, d):
-    lines = facts.campaign_order_lines(_shop(s, d), td.campaigns(), window=td.FIRST_WEEK)
-    per_order = lines.groupBy("ads_campaign", "user_id", "order_id").agg(
-        money_total("price").alias("order_price"))
+    orders = facts.campaign_order_prices(_shop(s, d), td.campaigns(), window=td.FIRST_WEEK)
+    per_order = orders.groupBy("ads_campaign", "user_id", "order_id").agg(
+        money_total("order_price").alias("order_price"))
     per_user = per_order.groupBy("ads_campaign", "user_id").agg(
         ratio(money_total("order_price"), F.count("order_price")).alias("user_avg_check"))
     return _dbl(per_user, "user_avg_check")
@@ -619,7 +643,7 @@ QUERIES = {f.__name__: f for f in [
     agg_two_level, agg_arith,
     win_filtered_count, win_min, win_min_two_keys, win_max_ratio, win_running_sum,
     win_running_sum_part, win_running_expr, win_running_ratio, win_grand_total, win_lag,
-    win_row_number,
+    win_row_number, line_running_revenue, user_running_revenue, previous_action, action_number,
     sort_asc, sort_desc, sort_alias_shadow,
     fn_to_date, fn_month_start, fn_day_number, fn_month, fn_iso_dow, fn_day_name,
     fn_concat_label, fn_round2, fn_decimal_ratio, fn_case_else, fn_case_null, fn_coalesce,

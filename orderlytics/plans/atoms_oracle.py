@@ -170,12 +170,31 @@ ORACLE = {
         SELECT ads_campaign, dt,
                row_number() OVER (PARTITION BY ads_campaign ORDER BY dt ASC NULLS LAST) AS day_number
         FROM {CAMPAIGN_DAYS} d""",
+    # windows over raw rows
+    "line_running_revenue": """
+        SELECT order_id, product_id, creation_time, CAST(price AS DOUBLE) AS price,
+               CAST(SUM(price) OVER (ORDER BY creation_time ASC NULLS LAST) AS DOUBLE) AS total_price
+        FROM valid_lines""",
+    "user_running_revenue": """
+        SELECT user_id, "time", order_id, CAST(price AS DOUBLE) AS price,
+               CAST(SUM(price) OVER (PARTITION BY user_id ORDER BY "time" ASC NULLS LAST) AS DOUBLE) AS total_price
+        FROM campaign_lines""",
+    "previous_action": """
+        SELECT user_id, "time", order_id, action,
+               LAG("time", 1) OVER (PARTITION BY user_id ORDER BY "time" ASC NULLS LAST, order_id ASC NULLS LAST,
+                                    action ASC NULLS LAST) AS previous_time
+        FROM ua""",
+    "action_number": """
+        SELECT user_id, "time", order_id, action,
+               row_number() OVER (ORDER BY "time" ASC NULLS LAST, user_id ASC NULLS LAST, order_id ASC NULLS LAST,
+                                  action ASC NULLS LAST) AS number
+        FROM ua""",
     # sorts
-    "sort_asc": f"SELECT dt, CAST(revenue AS DOUBLE) AS revenue FROM {DAILY} d ORDER BY dt",
+    "sort_asc": f"SELECT dt, CAST(revenue AS DOUBLE) AS revenue FROM {DAILY} d ORDER BY dt ASC NULLS LAST",
     "sort_desc": """SELECT name, CAST(SUM(price) AS DOUBLE) AS revenue FROM valid_lines
-                    GROUP BY name ORDER BY revenue DESC""",
+                    GROUP BY name ORDER BY revenue DESC NULLS FIRST""",
     "sort_alias_shadow": """SELECT name, CAST(SUM(price) AS DOUBLE) AS price FROM valid_lines
-                            GROUP BY name ORDER BY price DESC""",
+                            GROUP BY name ORDER BY price DESC NULLS FIRST""",
     # scalar functions
     "fn_to_date": 'SELECT user_id, CAST("time" AS DATE) AS dt FROM ua',
     "fn_month_start": """SELECT order_id, CAST(date_trunc('month', CAST("time" AS DATE)) AS DATE)
@@ -216,9 +235,7 @@ ORACLE = {
     "cancel_flag": f'SELECT user_id, order_id, action, "time", {CANCEL_COUNT} AS is_canceled FROM ua',
     "order_lines": """SELECT order_id, creation_time, product_id, name,
                              CAST(price AS DOUBLE) AS price FROM valid_lines""",
-    "campaign_tag": f"""
-        SELECT user_id, order_id, action, "time", ads_campaign
-        FROM (SELECT *, {CAMPAIGN} AS ads_campaign FROM ua) tagged WHERE ads_campaign IN (1, 2)""",
+    "campaign_tag": f"""SELECT user_id, order_id, action, "time", {CAMPAIGN} AS ads_campaign FROM ua""",
     "campaign_order_lines": """
         SELECT ads_campaign, user_id, order_id, "time", product_id, CAST(price AS DOUBLE) AS price
         FROM campaign_lines""",

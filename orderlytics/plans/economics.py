@@ -3,7 +3,7 @@ metrics, new-user revenue, product shares, gross profit).
 
 Each function takes a `Shop` (plus parameters) and returns the metric as a
 DataFrame with its final column names and types: dates DATE, counts BIGINT,
-money and ratios DOUBLE (rounded in exact decimal arithmetic first).
+money and ratios DECIMAL(38,2), exact. (The registry casts them to DOUBLE.)
 
 Plan shape: the priced lines of valid orders come from one anti join of the
 order headers against the cancelled ids and one join of headers to their lines
@@ -17,28 +17,24 @@ the actions (E2-E5). Windows run only over per-day series. A prepared shop
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.functions import day, day_name, iso_dow, money_total, out_num, percent, ratio
+from orderlytics.functions import amount, day, day_name, iso_dow, money_total, percent, ratio
 from orderlytics.operators import costs, daily, facts, shares, windows
 from orderlytics.sources.params import WEEKDAY_WINDOW, CostModel, Folding, VatRule
 from orderlytics.sources.tables import Shop
 
 
-def _ts(d) -> Column:
-    return F.lit(d).cast("timestamp_ntz")
-
-
 def e1_daily_revenue(shop: Shop) -> DataFrame:
     """dt, revenue, total_revenue, revenue_change (% vs the previous day)."""
     lines = facts.order_lines(shop)
     d = daily.daily_revenue(lines)
     return d.select(
         "dt",
-        out_num("revenue").alias("revenue"),
-        out_num(windows.running_sum("revenue")).alias("total_revenue"),
-        out_num(windows.pct_change("revenue")).alias("revenue_change"))
+        amount("revenue").alias("revenue"),
+        amount(windows.running_sum("revenue")).alias("total_revenue"),
+        amount(windows.pct_change("revenue")).alias("revenue_change"))
 
 
 def _day_kpis(shop: Shop):
@@ -50,13 +46,13 @@ def _day_kpis(shop: Shop):
 def e2_arpu_arppu_aov(shop: Shop) -> DataFrame:
     """dt, arpu, arppu, aov per order day."""
     cancelled, base = _day_kpis(shop)
-    users = daily.users_and_payers(shop.user_actions, cancelled, day("time"))
+    users = daily.users_and_payers(shop.user_actions, cancelled, day("time"), facts.hot_orders(shop))
     t = daily.star(base, users.withColumnRenamed("_k", "dt"))
     return t.select(
         "dt",
-        out_num(ratio("revenue", "users")).alias("arpu"),
-        out_num(ratio("revenue", "paying_users")).alias("arppu"),
-        out_num(ratio("revenue", "orders")).alias("aov"),
+        amount(ratio("revenue", "users")).alias("arpu"),
+        amount(ratio("revenue", "paying_users")).alias("arppu"),
+        amount(ratio("revenue", "orders")).alias("aov"),
     ).orderBy(F.col("dt").asc_nulls_last())
 
 
@@ -65,36 +61,34 @@ def e3_running_arpu(shop: Shop) -> DataFrame:
     new users, new paying users and orders. Users who start on a day without
     revenue never enter the running counts (the series is the revenue days)."""
     cancelled, base = _day_kpis(shop)
-    t = daily.star(base, daily.daily_new_users_and_payers(shop.user_actions, cancelled))
+    t = daily.star(base, daily.daily_new_users_and_payers(shop.user_actions, cancelled, facts.hot_orders(shop)))
     rev = windows.running_sum("revenue")
     return t.select(
         "dt",
-        out_num(ratio(rev, windows.running_sum("new_users", money=False))).alias("running_arpu"),
-        out_num(ratio(rev, windows.running_sum("new_paying_users", money=False))).alias("running_arppu"),
-        out_num(ratio(rev, windows.running_sum("orders", money=False))).alias("running_aov"))
+        amount(ratio(rev, windows.running_sum("new_users", money=False))).alias("running_arpu"),
+        amount(ratio(rev, windows.running_sum("new_paying_users", money=False))).alias("running_arppu"),
+        amount(ratio(rev, windows.running_sum("orders", money=False))).alias("running_aov"))
 
 
 def e4_weekday_arpu(shop: Shop, window: tuple = WEEKDAY_WINDOW) -> DataFrame:
     """weekday, weekday_number, arpu, arppu, aov over ``[start, end)`` on raw
     timestamps. Users are distinct over the whole window per weekday."""
-    start, end = window
     cancelled = facts.cancelled_of(shop)
-    in_window = lambda c: (F.col(c) >= _ts(start)) & (F.col(c) < _ts(end))
     # The window filter on creation time reaches the orders scan (or the prepared
-    # lines' Parquet scan) through the joins.
-    lines = facts.order_lines(shop, cancelled).filter(in_window("creation_time"))
+    # lines' Parquet scan); the orders left prune the lines after their scan.
+    lines = facts.order_lines(shop, cancelled, created=window)
     sales = lines.groupBy(day_name("creation_time").alias("weekday")).agg(
         F.max(iso_dow("creation_time")).alias("weekday_number"),
         F.count_distinct("order_id").alias("orders"),
         money_total("price").alias("revenue"))
-    acts = shop.user_actions.filter(in_window("time"))
-    users = daily.users_and_payers(acts, cancelled, day_name("time"))
+    acts = shop.user_actions.filter(facts.within("time", window))
+    users = daily.users_and_payers(acts, cancelled, day_name("time"), facts.hot_orders(shop))
     t = daily.star(sales, users.withColumnRenamed("_k", "weekday"), on="weekday")
     return t.select(
         "weekday", "weekday_number",
-        out_num(ratio("revenue", "users")).alias("arpu"),
-        out_num(ratio("revenue", "paying_users")).alias("arppu"),
-        out_num(ratio("revenue", "orders")).alias("aov"),
+        amount(ratio("revenue", "users")).alias("arpu"),
+        amount(ratio("revenue", "paying_users")).alias("arppu"),
+        amount(ratio("revenue", "orders")).alias("aov"),
     ).orderBy(F.col("weekday_number").asc_nulls_last())
 
 
@@ -110,28 +104,27 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
         money_total("price").alias("order_price"))
     total = per_order_day.groupBy("dt").agg(money_total("order_price").alias("revenue"))
     prices = per_order_day.groupBy("order_id").agg(money_total("order_price").alias("order_price"))
-    new = daily.first_day_revenue(shop.user_actions, prices)
+    new = daily.first_day_revenue(shop.user_actions, prices, facts.hot_orders(shop))
     share = percent("new_users_revenue", "revenue")
     return total.join(new, "dt", "left").select(
         "dt",
-        out_num("revenue").alias("revenue"),
-        out_num("new_users_revenue").alias("new_users_revenue"),
-        out_num(share).alias("new_users_revenue_share"),
-        out_num(F.lit(100) - share).alias("old_users_revenue_share"))
+        amount("revenue").alias("revenue"),
+        amount("new_users_revenue").alias("new_users_revenue"),
+        amount(share).alias("new_users_revenue_share"),
+        amount(F.lit(100) - share).alias("old_users_revenue_share"))
 
 
 def e6_product_share(shop: Shop, folding: Folding = Folding()) -> DataFrame:
     """product_name, revenue, share_in_revenue over all time; products whose
     rounded share is under the threshold are folded into one group."""
-    lines = facts.order_lines(shop)
-    by_name = lines.groupBy("name").agg(money_total("price").alias("revenue"))
+    by_name = facts.product_revenue(shop).groupBy("name").agg(money_total("revenue").alias("revenue"))
     with_share = shares.share_of_total(by_name, "revenue", "share_in_revenue")
     folded = shares.fold_small(with_share, "name", "revenue", "share_in_revenue",
                                folding.threshold, folding.label, out_key="product_name")
     return folded.select(
         "product_name",
-        out_num("revenue").alias("revenue"),
-        out_num("share_in_revenue").alias("share_in_revenue"),
+        amount("revenue").alias("revenue"),
+        amount("share_in_revenue").alias("share_in_revenue"),
     ).orderBy(F.col("revenue").desc_nulls_first())
 
 
@@ -158,6 +151,6 @@ def e7_gross_profit(shop: Shop, vat: VatRule = VatRule(), model: CostModel = Cos
     money_cols = ["revenue", "costs", "tax", "gross_profit", "total_revenue", "total_costs",
                   "total_tax", "total_gross_profit"]
     return totals.select(
-        "dt", *[out_num(c).alias(c) for c in money_cols],
-        out_num(percent("gross_profit", "revenue")).alias("gross_profit_ratio"),
-        out_num(percent("total_gross_profit", "total_revenue")).alias("total_gross_profit_ratio"))
+        "dt", *[amount(c).alias(c) for c in money_cols],
+        amount(percent("gross_profit", "revenue")).alias("gross_profit_ratio"),
+        amount(percent("total_gross_profit", "total_revenue")).alias("total_gross_profit_ratio"))

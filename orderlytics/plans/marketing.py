@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlytics.functions import MONEY_SUM, day, label, money_total, out_num, percent, ratio
+from orderlytics.functions import MONEY_SUM, amount, day, label, money_total, percent, ratio
 from orderlytics.operators import cohorts, facts, windows
 from orderlytics.sources.params import FIRST_WEEK, RETENTION_DAYS, Campaigns
 from orderlytics.sources.tables import Shop
@@ -41,18 +41,18 @@ def m1_cac(shop: Shop, campaigns: Campaigns) -> DataFrame:
     per = acts.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("users"))
     return per.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
-        out_num(ratio(_spend(campaigns), "users")).alias("cac"),
+        amount(ratio(_spend(campaigns), "users")).alias("cac"),
     ).orderBy(F.col("cac").desc_nulls_first())
 
 
 def m2_roi(shop: Shop, campaigns: Campaigns) -> DataFrame:
     """ads_campaign, roi: (revenue - spend) / spend * 100."""
-    lines = facts.campaign_order_lines(shop, campaigns)
-    per = lines.groupBy("ads_campaign").agg(money_total("price").alias("revenue"))
+    orders = facts.campaign_order_prices(shop, campaigns)
+    per = orders.groupBy("ads_campaign").agg(money_total("order_price").alias("revenue"))
     spend = _spend(campaigns)
     return per.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
-        out_num(percent(F.col("revenue") - spend, spend)).alias("roi"),
+        amount(percent(F.col("revenue") - spend, spend)).alias("roi"),
     ).orderBy(F.col("roi").desc_nulls_first())
 
 
@@ -60,15 +60,15 @@ def m3_avg_check(shop: Shop, campaigns: Campaigns, window: tuple = FIRST_WEEK) -
     """ads_campaign, avg_check: the campaign mean of each user's mean order
     value (rounded to cents) over action days in ``[start, end)``. The cancel
     test looks at all time, so the window filters after it."""
-    lines = facts.campaign_order_lines(shop, campaigns, window=window)
-    per_order = lines.groupBy("ads_campaign", "user_id", "order_id").agg(
-        money_total("price").alias("order_price"))
+    orders = facts.campaign_order_prices(shop, campaigns, window=window)
+    per_order = orders.groupBy("ads_campaign", "user_id", "order_id").agg(
+        money_total("order_price").alias("order_price"))
     per_user = per_order.groupBy("ads_campaign", "user_id").agg(
         _avg("order_price").alias("user_avg_check"))
     per_campaign = per_user.groupBy("ads_campaign").agg(_avg("user_avg_check").alias("avg_check"))
     return per_campaign.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
-        out_num("avg_check").alias("avg_check"),
+        amount("avg_check").alias("avg_check"),
     ).orderBy(F.col("avg_check").desc_nulls_first())
 
 
@@ -77,41 +77,42 @@ def m4_retention(shop: Shop) -> DataFrame:
     and every later active day (all actions count, cancellations included)."""
     r = cohorts.retention(cohorts.cohort_activity(shop.user_actions))
     return cohorts.with_start_month(r).select(
-        "start_month", "start_date", "day_number", out_num("retention").alias("retention"))
+        "start_month", "start_date", "day_number", amount("retention").alias("retention"))
 
 
 def m5_campaign_retention(shop: Shop, campaigns: Campaigns,
                           days: Sequence[int] = RETENTION_DAYS) -> DataFrame:
     """ads_campaign, start_date, day_number, retention of campaign users on the
     given day numbers (day 0 included by default)."""
-    tagged = facts.tag_campaign(shop.user_actions.select("user_id", "time"), campaigns)
+    tagged = facts.reported(shop.user_actions.select("user_id", "time"), campaigns)
     c = cohorts.cohort_activity(tagged, partition=["ads_campaign"])
     r = cohorts.retention(c, partition=["ads_campaign"], days=days)
     return r.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
-        "start_date", "day_number", out_num("retention").alias("retention"))
+        "start_date", "day_number", amount("retention").alias("retention"))
 
 
 def m6_cumulative_arppu(shop: Shop, campaigns: Campaigns) -> DataFrame:
     """ads_campaign, day, cumulative_arppu, cac. "Day n" numbers the campaign's
     revenue days (gaps collapse); running revenue is divided by the campaign's
     final number of buyers."""
-    main = facts.campaign_order_lines(shop, campaigns)
-    # One pass over the joined lines: per campaign, day and buyer; both the daily
-    # revenue and the campaign's buyers are read from this aggregate's shuffle.
-    g = main.groupBy("ads_campaign", day("time").alias("dt"), "user_id").agg(
-        money_total("price").alias("revenue"))
-    per_day = g.groupBy("ads_campaign", "dt").agg(money_total("revenue").alias("revenue"))
-    totals = g.groupBy("ads_campaign").agg(F.count_distinct("user_id").alias("paying_users"))
-    totals = totals.select("ads_campaign", "paying_users",
-                           ratio(_spend(campaigns), "paying_users").alias("cac"))
-    t = per_day.join(totals, "ads_campaign", "left")
+    orders = facts.campaign_order_prices(shop, campaigns)
+    # One pass: revenue per campaign, day and buyer, and on which of these days a buyer
+    # is first seen. Both series come from it: a day's revenue and its new buyers, whose
+    # sum over the days is the campaign's number of buyers.
+    spent = orders.groupBy("ads_campaign", day("time").alias("dt"), "user_id").agg(
+        money_total("order_price").alias("revenue"))
+    first = F.min("dt").over(Window.partitionBy("ads_campaign", "user_id"))
+    per_day = spent.withColumn("first", first).groupBy("ads_campaign", "dt").agg(
+        money_total("revenue").alias("revenue"),
+        F.count(F.when(F.col("dt").eqNullSafe(F.col("first")), F.col("user_id"))).alias("new_buyers"))
+    buyers = F.sum("new_buyers").over(Window.partitionBy("ads_campaign"))
+    t = per_day.withColumn("paying_users", buyers).withColumn("cac", ratio(_spend(campaigns), "paying_users"))
     part = ["ads_campaign"]
     n = windows.row_number("dt", part) - 1
     return t.select(
         label(campaigns.label_prefix, "ads_campaign").alias("ads_campaign"),
         F.concat(F.lit("Day "), n.cast("string")).alias("day"),
-        out_num(ratio(windows.running_sum("revenue", "dt", part), "paying_users"))
+        amount(ratio(windows.running_sum("revenue", "dt", part), "paying_users"))
         .alias("cumulative_arppu"),
-        out_num("cac").alias("cac"))
-
+        amount("cac").alias("cac"))

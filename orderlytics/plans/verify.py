@@ -1,5 +1,5 @@
-"""Compare a registered Spark query with its DuckDB oracle: row count, column
-names and types, and the multiset of rows (order-insensitive)."""
+"""Compare a registered Spark query with its DuckDB oracle: row count, column names and
+types, the multiset of rows, and, of queries that sort, the sequence of their sort key."""
 
 from __future__ import annotations
 
@@ -48,7 +48,9 @@ def _kind(t: str, table: dict) -> str:
     return table.get(t, t)
 
 
-def compare(df: DataFrame, sql: str, con) -> dict:
+def compare(df: DataFrame, sql: str, con, sort_key: str | None = None) -> dict:
+    """``sort_key``: the column by which both sides sort. Rows with equal keys may come in
+    any order; the keys, NULLs among them, must come in the same."""
     spark_cols = [f.name for f in df.schema.fields]
     spark_kinds = {f.name: _kind(f.dataType.simpleString(), SPARK_TO_KIND) for f in df.schema.fields}
     rows = [tuple(_norm(v) for v in r) for r in df.collect()]
@@ -76,4 +78,8 @@ def compare(df: DataFrame, sql: str, con) -> dict:
         out["spark_types"], out["oracle_types"] = spark_kinds, duck_kinds
     out["ok"] = (out["values_match"] and out["types_match"]
                  and out["spark_rows"] == out["oracle_rows"])
+    if sort_key is not None:
+        i, j = spark_cols.index(sort_key), duck_cols.index(sort_key)
+        out["order_match"] = [r[i] for r in rows] == [r[j] for r in drows]
+        out["ok"] = out["ok"] and out["order_match"]
     return out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans joins from runtime sizes (sort-merge -> broadcast only when the
 # measured side is under the threshold), coalesces small shuffle partitions and
@@ -63,3 +64,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="orderlytics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def _stored(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlytics-{spark.sparkContext.applicationId}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the folder named by ``spark.checkpoint.dir``
+    and read back. ``clear_stored`` deletes it; until then it may be read again."""
+    spark = df.sparkSession
+    path = f"{_stored(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete what this application stored, once the results made from it are kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

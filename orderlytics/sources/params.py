@@ -63,11 +63,11 @@ class Campaigns:
 
 @dataclass(frozen=True)
 class VatRule:
-    """Tax-inclusive VAT: products named in ``reduced`` (a list of names or a
-    boolean Column over ``name``) pay ``reduced_rate``, all others
-    ``standard_rate``."""
+    """Tax-inclusive VAT: products named in ``reduced`` (a list of names, a boolean
+    Column over ``name``, or a table with the names in its column ``name``) pay
+    ``reduced_rate``, all others ``standard_rate``."""
 
-    reduced: Sequence[str] | Column = REDUCED_VAT_NAMES
+    reduced: Sequence[str] | Column | DataFrame = REDUCED_VAT_NAMES
     reduced_rate: int = REDUCED_VAT_RATE
     standard_rate: int = STANDARD_VAT_RATE
 

@@ -18,7 +18,7 @@ order listed twice gives its lines twice, exactly as with the nested form.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +89,8 @@ class Shop:
     # lines of valid orders, materialised once and shared by every metric.
     cancelled_ids: DataFrame | None = None
     priced_lines: DataFrame | None = None
+    # What was measured of these tables and only guides plans (hot order ids).
+    measured: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def from_tables(cls, user_actions, orders, products, courier_actions=None, order_items=None):

@@ -139,6 +139,13 @@ def activity(spark, sf_dir) -> DataFrame:
 _SHOPS: dict = {}
 
 
+def _shops(spark: SparkSession) -> dict:
+    """The shops of a live session; those of stopped sessions are forgotten."""
+    for old in [s for s in _SHOPS if s.sparkContext._jsc is None]:
+        del _SHOPS[old]
+    return _SHOPS.setdefault(spark, {})
+
+
 def shop(spark: SparkSession, sf_dir: str, normalised: bool = True) -> Shop:
     """The canonical shop over the test tables. ``normalised`` hands the order
     lines over as items (no array round trip); False exercises the nested path.
@@ -147,32 +154,63 @@ def shop(spark: SparkSession, sf_dir: str, normalised: bool = True) -> Shop:
     and folder and shared by every metric (as a user builds it once and asks
     many questions): the file listing and plan analysis of the base tables is
     not repeated for each query."""
-    key = (spark, sf_dir, normalised)
-    if key not in _SHOPS:
-        _SHOPS[key] = Shop.from_tables(
+    shops, key = _shops(spark), (sf_dir, normalised)
+    if key not in shops:
+        shops[key] = Shop.from_tables(
             user_actions(spark, sf_dir),
             order_headers(spark, sf_dir) if normalised else orders(spark, sf_dir),
             products(spark, sf_dir),
             courier_actions(spark, sf_dir),
             order_items(spark, sf_dir) if normalised else None,
         )
-    return _SHOPS[key]
+    return shops[key]
 
 
 def activity_shop(spark: SparkSession, sf_dir: str) -> Shop:
     """The shop whose action log is ``events`` (for the retention metrics)."""
-    key = (spark, sf_dir, "activity")
-    if key not in _SHOPS:
+    shops, key = _shops(spark), (sf_dir, "activity")
+    if key not in shops:
+        base = shop(spark, sf_dir)
+        shops[key] = Shop(activity(spark, sf_dir), base.orders, base.products,
+                          base.courier_actions, base.order_items)
+    return shops[key]
+
+
+def fragment_shop(spark: SparkSession, sf_dir: str) -> Shop:
+    """The shop whose orders carry their products as arrays, in fragments of at most 64
+    (``order_fragments``): an order of many lines is several rows."""
+    shops, key = _shops(spark), (sf_dir, "fragments")
+    if key not in shops:
         base = shop(spark, sf_dir)
-        _SHOPS[key] = Shop(activity(spark, sf_dir), base.orders, base.products,
-                           base.courier_actions, base.order_items)
-    return _SHOPS[key]
+        shops[key] = Shop.from_tables(base.user_actions, order_fragments(spark, sf_dir), base.products,
+                                      base.courier_actions)
+    return shops[key]
 
 
 def campaigns() -> Campaigns:
     return Campaigns(spend=SPEND, assign=F.expr(CAMPAIGN_RULE_SQL))
 
 
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """campaign_id, user_id: the users of each campaign as a table. Those with remainder
+    2 are listed in both; the lower campaign counts."""
+    users = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    of = F.when(F.col("user_id") % 10 == 2, F.array(F.lit(1), F.lit(2))).when(
+        (F.col("user_id") % 10).isin(1, 3), F.array(F.lit(1))).when(
+        (F.col("user_id") % 10).isin(4, 5), F.array(F.lit(2)))
+    return users.select(F.explode(of).alias("campaign_id"), "user_id")
+
+
+def member_campaigns(spark: SparkSession, sf_dir: str) -> Campaigns:
+    return Campaigns(spend=SPEND, members=members(spark, sf_dir))
+
+
+def vat_names(spark: SparkSession, sf_dir: str) -> VatRule:
+    """The VAT rule with its product names as a table."""
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return VatRule(reduced=names.filter(F.col("name").startswith(REDUCED_PREFIX)))
+
+
 def vat_rule() -> VatRule:
     return VatRule(reduced=F.col("name").startswith(REDUCED_PREFIX))
 

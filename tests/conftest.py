@@ -43,7 +43,7 @@ def micro_shop(spark, actions, orders, products, couriers=()) -> Shop:
 
 
 def rows(df, *cols):
-    """Collected rows as tuples (in the given column order), sorted."""
+    """Collected rows as tuples (in the given column order), sorted; decimals as floats."""
     cols = cols or tuple(df.columns)
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()),
+    return sorted((tuple(float(r[c]) if isinstance(r[c], Decimal) else r[c] for c in cols) for r in df.collect()),
                   key=lambda t: tuple((x is None, str(x)) for x in t))
