@@ -169,12 +169,11 @@ def _answers(query: np.ndarray, sizes: np.ndarray, grams: np.ndarray, percent: i
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A text asks its partners in
-    blocks of about ASKED, its set first in each block."""
+    """The pairs (a, b) whose sets are similar enough, stored. A text asks its partners
+    in blocks of about ASKED, its set first in each block."""
     rows = pairs.count()
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("b") / F.lit(ASKED)).alias("blocks"))
-    cut = scratch.table(pairs.join(scratch.table(blocks, rows), "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), rows)
+    blocks = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("b") / F.lit(ASKED)).alias("blocks")), rows)
+    cut = scratch.table(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), rows)
     asking = cut.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
         "a", "block", F.lit(None).cast("long").alias("b"), "n", "grams")
     asked = cut.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "n", "grams")
@@ -207,7 +206,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     dealt = asking.union(asked).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     # sorted partitions one after the other keep what belongs together in one piece; sets are wide rows
-    return scratch.few(dealt, WIDE * rows).mapInArrow(ask, "a long, b long")
+    found = scratch.table(scratch.few(dealt, WIDE * rows).mapInArrow(ask, "a long, b long"))
+    scratch.drop(blocks, cut)
+    return found
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -223,7 +224,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     spark = docs.sparkSession
     bits = min(MOST_BITS, max(LEAST_BITS, (64 * docs.count()).bit_length()))
     level = spark.sparkContext.broadcast(_frequency(docs, k, bits))  # 16 MB at most
-    found = scratch.table(_prefixes(docs, level, bits, k, percent))
+    scanned = found = scratch.table(_prefixes(docs, level, bits, k, percent))
     # equal sets: the smallest id stands for all
     same = scratch.table(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "print_a", "print_b")
                          .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
@@ -242,13 +243,18 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     asked = scratch.table(lists.groupBy("node").agg(F.count("gram").alias("central")))
     sets = scratch.table(_full_sets(docs, scratch.table(
         one.select("node", "print_a").join(scratch.bounded(asked.select("node")), "node", "left_semi")), k))
-    lists = lists.join(scratch.bounded(asked), "node")
+    before, lists = lists, scratch.table(lists.join(scratch.bounded(asked), "node"))
+    found = scratch.table(found.select("doc_id", "n", "node"))
+    scratch.drop(before, asked, scanned, same)
+    one = posted = cold = None
+    scratch.forget(spark)
     rows = lists.count()
-    connected = tried = None
+    connected, tried, parts = None, None, []
     low, high = 0, 1
     while True:
         at = lists if connected is None else lists.join(scratch.bounded(connected), "node", "left")
         at = at.withColumn("c", F.coalesce("c", "node") if connected is not None else F.col("node"))
+        best = open_ = ranked = None
         if low == 0:  # the most central text of each list, without sorting lists
             best = scratch.table(at.groupBy("gram").agg(F.min(F.struct(-F.col("central"), "node", "n", "at", "c")).alias("q")), rows)
             pairs = at.join(best, "gram").where("node <> q.node AND c <> q.c")
@@ -270,12 +276,18 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, rows)
+        parts.append(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        new = None if pairs.isEmpty() else scratch.table(_verified(pairs, sets, percent))
+        new = None if pairs.isEmpty() else _verified(pairs, sets, percent)
         if new is not None and not new.isEmpty():  # the components so far stand for the links so far
             links = new if connected is None else new.union(connected)
-            connected = scratch.table(components(links).withColumnRenamed("component", "c"))
+            before, connected = connected, scratch.table(components(links).withColumnRenamed("component", "c"))
+            scratch.drop(before)
+        scratch.drop(best, open_, ranked, new)
+        at = links = q = None  # what a round was made of is not needed any more
+        scratch.forget(spark)
         low, high = high, 4 * high + 1
+    scratch.drop(lists, sets, *parts)
     rows = found
     if connected is not None:
         rows = rows.join(scratch.bounded(connected), "node", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,52 @@ def table(df: DataFrame, rows: int | None = None) -> DataFrame:
     df = df if rows is None else few(df, rows)
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    _held.setdefault(_folder(spark), set()).add(path)
+    return stored
+
+
+#: Tables that were written and not deleted, by the folder of their application.
+_held: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete stored tables from which nothing more will be computed."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.scratch_path)
+            _held.get(_folder(df.sparkSession), set()).discard(df.scratch_path)
+
+
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete every table this application wrote, but for the tables ``kept``, and let Spark delete
+    the shuffles of plans that are no longer referred to: it does so for those that the
+    driver's garbage collector finds. Call it when what was derived from the tables has
+    been stored."""
+    keep = {vars(df)["scratch_path"] for df in kept if "scratch_path" in vars(df)}
+    for path in _held.get(_folder(spark), set()) - keep:
+        _delete(spark, path)
+    _held[_folder(spark)] = keep
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every table this application wrote. Call it when the results that
     were derived from them have been stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
+    _held.pop(_folder(spark), None)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
