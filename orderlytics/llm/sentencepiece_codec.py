@@ -29,7 +29,7 @@ from orderlytics.llm.textscan import release
 TEXTS = 1024
 #: Most words in one index.
 WORDS = 40_000
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a task remembers: those of the last texts, in two generations.
 KNOWN = 300_000
 SPACE = "▁"
 FOREIGN = -2  # a character that is no piece; spelled in bytes
@@ -46,6 +46,22 @@ class Pieces(NamedTuple):
     usable: np.ndarray       # whether a piece is its own encoding
     byte: np.ndarray         # ids of the byte pieces
     chars: frozenset[str]
+    sought: "Sought"         # the usable pieces, as matching looks for them
+
+
+class Sought(NamedTuple):
+    """Strings to be found: what their first 16 bytes lie between, as two numbers each."""
+    text: list[bytes]
+    id: np.ndarray
+    size: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+
+def sought(text: list[bytes], id_: np.ndarray) -> Sought:
+    def padded(pad):
+        return np.frombuffer(b"".join(q[:16].ljust(16, pad) for q in text), ">u8").reshape(-1, 2).astype(np.uint64)
+    return Sought(text, id_, np.array([len(q) for q in text]), padded(b"\0"), padded(b"\xff"))
 
 
 def merge(symbols: list[str], rank: dict[str, int]) -> list[tuple[str, tuple[str, str] | None]]:
@@ -84,9 +100,19 @@ def load(path: str) -> Pieces:
                 pairs[ids[s[:cut]] * size + ids[s[cut:]]] = rank[s]
     keys = np.array(sorted(pairs), np.int64)
     byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+    use = np.flatnonzero(usable & np.array([s != "" for s in name]))
     return Pieces([s.encode() for s in name], np.array([rank.get(s, -1) for s in name]), left, right, keys,
                   np.array([pairs[k] for k in keys.tolist()]), usable, byte,
-                  frozenset(s for s in ids if len(s) == 1))
+                  frozenset(s for s in ids if len(s) == 1), sought([name[i].encode() for i in use], use))
+
+
+def _plain(p: Pieces) -> tuple:
+    """``p`` without classes of this library: a broadcast is read without it."""
+    return *p[:-1], tuple(p.sought)
+
+
+def _pieces(plain: tuple) -> Pieces:
+    return Pieces(*plain[:-1], Sought(*plain[-1]))
 
 
 def follows(p: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,7 +144,7 @@ def _keys(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return low[:n], low[8:n + 8]
 
 
-def occurrences(words: list[bytes], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(words: list[bytes], pieces: Sought) -> tuple[np.ndarray, np.ndarray]:
     """(start, piece) of every occurrence of the pieces in the words, which stand one
     after the other with a byte 0xFF behind each."""
     joined = b"\xff".join([*words, b""])
@@ -128,8 +154,7 @@ def occurrences(words: list[bytes], pieces: list[bytes]) -> tuple[np.ndarray, np
     suffix = np.lexsort((low, high))
     high, low = high[suffix], low[suffix]
 
-    def bounds(pad):
-        rows = np.frombuffer(b"".join(q[:16].ljust(16, pad) for q in pieces), ">u8").reshape(-1, 2).astype(np.uint64)
+    def bounds(rows):
         a = np.searchsorted(high, rows[:, 0], "left")
         b = np.searchsorted(high, rows[:, 0], "right")
         return rows[:, 1], a, b
@@ -143,16 +168,16 @@ def occurrences(words: list[bytes], pieces: list[bytes]) -> tuple[np.ndarray, np
             a, b = np.where(up, mid + 1, a), np.where(open_ & ~up, mid, b)
         return a
 
-    key, a, b = bounds(b"\0")
+    key, a, b = bounds(pieces.least)
     first = within(key, a, b, False)
-    key, a, b = bounds(b"\xff")
+    key, a, b = bounds(pieces.most)
     last = within(key, a, b, True)
     count = np.maximum(0, last - first)
-    piece = np.repeat(np.arange(len(pieces)), count)
+    piece = np.repeat(np.arange(len(pieces.text)), count)
     start = suffix[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)]
-    long = np.flatnonzero(np.array([len(q) for q in pieces])[piece] > 16)
+    long = np.flatnonzero(pieces.size[piece] > 16)
     keep = np.ones(len(start), dtype=bool)
-    keep[long] = [joined.startswith(pieces[piece[i]], start[i]) for i in long]
+    keep[long] = [joined.startswith(pieces.text[piece[i]], start[i]) for i in long]
     return start[keep], piece[keep]
 
 
@@ -171,10 +196,8 @@ def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
     if not easy:
         return out
     raw = [words[i].encode() for i in easy]
-    use = np.flatnonzero(p.usable & np.array([len(t) > 0 for t in p.text]))
-    start, piece = occurrences(raw, [p.text[i] for i in use])
-    size = np.array([len(p.text[i]) for i in use])
-    end, piece = start + size[piece], use[piece]
+    start, piece = occurrences(raw, p.sought)
+    end, piece = start + p.sought.size[piece], p.sought.id[piece]
     begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw])))
     odd = [k for k, i in enumerate(easy) if not p.chars.issuperset(words[i])]
     foreign = [(begin[k] + len(words[easy[k]][:j].encode()), len(c.encode()))
@@ -227,25 +250,29 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     be a byte-pair model with byte fallback, whose pieces hold the word mark only in
     front. NULL and empty texts have no ids; NULL and repeated ids stay as they are."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(load(model)))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import sentencepiece
 
+        pieces = _pieces(shared.value)
         normal = sentencepiece.SentencePieceProcessor(model_file=model)
         split = re.compile(f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         known: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
                 texts = [split.findall(normal.normalize(t) if t else "") for t in part.column("text").to_pylist()]
-                if len(known) > KNOWN:
-                    known.clear()
-                new = list(set().union(*texts) - known.keys())
+                if len(known) > KNOWN // 2:
+                    known, older = {}, known
+                words = set().union(*texts) - known.keys()
+                known |= {w: older[w] for w in words & older.keys()}
+                new = list(words - older.keys())
                 for at in range(0, len(new), WORDS):
                     some = new[at:at + WORDS]
-                    for word, found in zip(some, encode_words(pieces.value, some)):
+                    for word, found in zip(some, encode_words(pieces, some)):
                         known[word] = found.astype("<u4").tobytes()
                 ids = [b"".join(map(known.__getitem__, t)) for t in texts]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -259,10 +286,10 @@ def decode(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``encoded`` and text, the decoded ``ids`` (NULL: NULL).
     Bytes that are not UTF-8 become U+FFFD."""
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    pieces = encoded.sparkSession.sparkContext.broadcast(load(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(_plain(load(model)))
 
     def run(batches):
-        p = pieces.value
+        p = _pieces(shared.value)
         spelled = [t.replace(SPACE.encode(), b" ") for t in p.text]
         for b, i in enumerate(p.byte):
             spelled[i] = bytes([b])
