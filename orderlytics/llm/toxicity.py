@@ -77,12 +77,17 @@ class Model:
         (self.words, self.word_ratio), (self.pairs, self.pair_ratio) = (
             (k[o], np.append(v[o], 0.0)) for k, v in (words, pairs) for o in [np.argsort(k)])
 
-    def ratio(self, words) -> np.ndarray:
-        """Per text: log-likelihood under the toxic model less that under the
-        ordinary one, per word; 0 for a text without words."""
-        w, p = find(self.words, words.hash), find(self.pairs, pair(previous(words), words.hash))
-        each = np.where(p < len(self.pairs), self.pair_ratio[p], self.word_ratio[w])
-        return per_text(each, words.first) / np.maximum(1, np.diff(words.first))
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.words, self.word_ratio, self.pairs, self.pair_ratio
+
+
+def ratio(arrays: tuple[np.ndarray, ...], words) -> np.ndarray:
+    """Per text: log-likelihood under the toxic model less that under the ordinary one,
+    per word; 0 for a text without words."""
+    known, word_ratio, pairs, pair_ratio = arrays
+    w, p = find(known, words.hash), find(pairs, pair(previous(words), words.hash))
+    each = np.where(p < len(pairs), pair_ratio[p], word_ratio[w])
+    return per_text(each, words.first) / np.maximum(1, np.diff(words.first))
 
 
 def _fit_model(labelled: DataFrame, telling: float) -> Model:
@@ -125,13 +130,14 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _ratios(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    # bounded by the sample; plain arrays, as a broadcast is read without this library
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def score(batches):
         scanner = Scanner(lower=True)
         for batch in batches:
-            ratios = [shared.value.ratio(w) for w in scanner.blocks(batch.column("text"))]
+            ratios = [ratio(shared.value, w) for w in scanner.blocks(batch.column("text"))]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(np.concatenate([np.zeros(0), *ratios]))],
                                   names=[*keep, "_ratio"])
 
