@@ -1,10 +1,11 @@
 """Passages that repeat across documents, exact or edited, by collinear chaining.
 
 Winnowed k-word seeds are joined: each occurrence is linked to the seed's first one
-(smallest document id), and so are runs of several seeds, whose first document is
-often another: the one that holds the whole passage. A task first links the occurrences it holds itself and
-passes on only their first, so that a seed, however common, crosses the shuffle at
-most once per task. The links of two documents are chained: among links that ascend
+(smallest document id and place), and so are runs of several seeds, whose first document is
+often another: the one that holds the whole passage. Of the occurrences a task holds of
+a seed, only the first looks for the seed's first of all; the others then join what it
+found, an ordinary join that Spark splits where a seed is very common. So the links
+are those of the table, however its rows are dealt. The links of two documents are chained: among links that ascend
 in both texts, a Fenwick tree over places in the source finds each link's best
 predecessor under a cost for the words passed over in either text. The diagonal
 runs of a chain are then aligned word by word, extended at both ends while that
@@ -34,7 +35,7 @@ WORDS, PERCENT = 50, 80
 GAP = 0.15
 #: Words by which a chain may grow at either end.
 GROW = 64
-#: Seeds that a task links among themselves at once.
+#: Seeds among which a task looks for first occurrences at once.
 UNIT = 1 << 20
 
 
@@ -73,22 +74,21 @@ def _spans(of: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndar
 
 
 def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """Rows of two kinds: links between occurrences in one task (source not NULL),
-    and the first occurrence there of every seed."""
+    """seed, doc, place of every occurrence; ``first``: it is the first among those that
+    were looked at together; ``more``: there were others. ``deal``: by what it is dealt
+    out, the first ones by seed, the others, which need not meet there, by document."""
     def emit(seed, doc, place):
         order = np.lexsort((place, doc, seed))
         seed, doc, place = seed[order], doc[order], place[order]
         new = np.ones(len(seed), dtype=bool)
         new[1:] = seed[1:] != seed[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        keep = new | (doc != doc[first])
-        for at in np.array_split(np.flatnonzero(keep), max(1, len(seed) >> 17)):
-            head = new[at]
-            # links that are made need not meet their seed's other occurrences: dealt out by document
-            key = np.where(head, seed[at], mix(doc[at].astype(np.uint64)))
-            yield pa.record_batch([pa.array(signed(key)), pa.array(doc[at]), pa.array(place[at].astype(np.int32)),
-                                   pa.array(doc[first[at]], mask=head), pa.array(place[first[at]].astype(np.int32), mask=head)],
-                                  ["seed", "doc", "place", "source", "source_place"])
+        more = new & ~np.append(new[1:], True)
+        deal = np.where(new, seed, mix(doc.astype(np.uint64)))
+        for i in range(0, len(seed), 1 << 17):
+            at = slice(i, i + (1 << 17))
+            yield pa.record_batch([pa.array(signed(deal[at])), pa.array(signed(seed[at])), pa.array(doc[at]),
+                                   pa.array(place[at].astype(np.int32)), pa.array(new[at]), pa.array(more[at])],
+                                  ["deal", "seed", "doc", "place", "first", "more"])
 
     def scan(batches):
         scanner, waiting, size = Scanner(lower=True), [], 0
@@ -104,20 +104,18 @@ def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
         if waiting:
             yield from emit(*map(np.concatenate, zip(*waiting)))
 
-    return docs.mapInArrow(scan, "seed long, doc long, place int, source long, source_place int")
+    return docs.mapInArrow(scan, "deal long, seed long, doc long, place int, first boolean, more boolean")
 
 
 def _links(seeds: DataFrame) -> DataFrame:
-    """doc, place, source, source_place: every occurrence in a document after the
-    first, with the first; the links made in a task pass through."""
+    """doc, place, source, source_place: every occurrence in another document than the
+    seed's first of all, with that one; stored."""
     def link(batches):
         last, source, source_place = None, 0, 0
         for batch in batches:
-            seed, doc, place, made, made_place = (batch.column(c) for c in ("seed", "doc", "place", "source", "source_place"))
-            own = np.asarray(made.is_null())
-            seed, doc, place = (np.asarray(c) for c in (seed, doc, place))
-            made, made_place = np.asarray(made.fill_null(0)), np.asarray(made_place.fill_null(0))
+            seed, doc, place, own, more = (np.asarray(batch.column(c)) for c in ("seed", "doc", "place", "first", "more"))
             at = np.flatnonzero(own)
+            made, made_place = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int32)
             if len(at):
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = seed[at][1:] != seed[at][:-1]
@@ -125,15 +123,25 @@ def _links(seeds: DataFrame) -> DataFrame:
                 group = np.cumsum(new) - 1
                 heads = at[new]
                 firsts = np.concatenate(([source], doc[heads])), np.concatenate(([source_place], place[heads]))
-                made, made_place = made.copy(), made_place.copy()
                 made[at], made_place[at] = firsts[0][group + 1], firsts[1][group + 1]
                 last, source, source_place = seed[at[-1]], made[at[-1]], made_place[at[-1]]
-            keep = np.flatnonzero(made != doc)
-            yield pa.record_batch([pa.array(c[keep]) for c in (doc, place, made, made_place)],
-                                  ["doc", "place", "source", "source_place"])
-
-    return (seeds.repartition("seed").sortWithinPartitions("seed", "doc", "place")
-            .mapInArrow(link, "doc long, place int, source long, source_place int"))
+            # links, what the others of a seed ask for, and these others
+            kinds = (own & (made != doc), own & more, ~own)
+            keep = np.concatenate([np.flatnonzero(k) for k in kinds])
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [int(k.sum()) for k in kinds])
+            yield pa.record_batch([pa.array(kind), *(pa.array(c[keep]) for c in (seed, doc, place, made, made_place))],
+                                  ["kind", "seed", "doc", "place", "source", "source_place"])
+
+    found = (seeds.repartition("deal").sortWithinPartitions("first", "seed", "doc", "place")
+             .mapInArrow(link, "kind byte, seed long, doc long, place int, source long, source_place int"))
+    found = scratch.table(found)
+    columns = ["doc", "place", "source", "source_place"]
+    firsts = found.where("kind = 1").groupBy("seed").agg(F.min(F.struct("source", "source_place")).alias("f"))
+    others = found.where("kind = 2").select("seed", "doc", "place").join(firsts, "seed").select(
+        "doc", "place", "f.source", "f.source_place").where("doc <> source")
+    links = scratch.table(found.where("kind = 0").select(*columns).unionByName(others))
+    scratch.drop(found)
+    return links
 
 
 def chains(place: np.ndarray, source: np.ndarray, worth: float = SEED, gap: float = GAP) -> list[np.ndarray]:
@@ -324,14 +332,14 @@ def passages(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int
     earlier one (smaller id): doc_id, start_word, end_word, source_id, source_start,
     source_end, n_words, similarity (equal words by the longer side; at least
     ``percent`` / 100). Case of A-Z does not count. A passage that several earlier
-    documents hold is reported against the first that has it, or against the first
-    within a task, which in turn has its own row.
+    documents hold is reported against the first that has it. The rows depend on the
+    table alone, not on how it is dealt over tasks.
 
     Rows without id or text hold no passages, nor do repetitions within one text. Rows
     repeated with one id are one document: passages lie in one of their texts. An
     empty table gives an empty result."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    links = scratch.table(_links(_seeds(docs, k, window)))
+    links = _links(_seeds(docs, k, window))
     found = scratch.table(_chained(links, k, words).withColumn("chain", F.monotonically_increasing_id()))
     table = _word_table(docs, scratch.table(
         found.select(F.col("doc").alias("doc_id")).union(found.select("source")).distinct()))

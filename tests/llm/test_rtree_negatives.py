@@ -6,6 +6,16 @@ from pyspark.sql import functions as F
 
 from orderlytics.llm import rtree_negatives as rt
 
+
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 SCHEMA = "vec_id long, embedding array<double>, label int, rank int, id long, score string"
 
 

@@ -148,3 +148,17 @@ def test_recombined_lines(spark):
         assert longest_common(texts[i], texts[i - 1]) == joint[at][1]
         found = covered.get((i, i - 1), set())
         assert set(range(6, 6 + joint[at][1])) <= found, (at, joint[at][1], len(found))
+
+
+def test_rows_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows for 1, 3 and 16 partitions, and for any number of seeds at once."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def rows(parts):
+        return sorted(map(tuple, sub.passages(df.repartition(parts)).collect()))
+
+    one = rows(1)
+    assert len(one) > 5
+    assert rows(3) == one
+    monkeypatch.setattr(sub, "UNIT", 500)
+    assert rows(16) == one
