@@ -67,10 +67,9 @@ def money_total(c: str | Column) -> Column:
     sum DECIMAL(12,2) into DECIMAL(22,2), which is past 18 digits and leaves
     the long-backed fast path for BigDecimal arithmetic. ANSI mode turns an
     overflow (beyond 9.2e16 in currency units) into an error, never a wrap."""
-    hundredfold = col(c) * F.lit(100)
-    cents = hundredfold.cast("bigint")
-    cents = F.when(cents == hundredfold, cents).when(hundredfold.isNotNull(), F.raise_error(
-        F.concat(F.lit("money with more than 2 decimals: "), col(c).cast("string"))))
+    value = col(c)
+    cents = F.when(F.round(value, 2) == value, (value * F.lit(100)).cast("bigint")).when(
+        value.isNotNull(), F.raise_error(F.concat(F.lit("money with more than 2 decimals: "), value.cast("string"))))
     return (F.sum(cents).cast(COUNT_DEC) / F.lit(100)).cast(MONEY_SUM)
 
 

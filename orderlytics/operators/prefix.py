@@ -112,6 +112,16 @@ def lag(df: DataFrame, col: str, order: Sequence[str], name: str, partition: Seq
     return scan(df, order, lags={name: col}, partition=partition, parts=parts)
 
 
+def in_arrays(df: DataFrame, key: str, value: str, name: str, most: int = 64, parts: int | None = None) -> DataFrame:
+    """key, part, ``name``: the values of each key as arrays of at most ``most``, ascending
+    with NULLs last and cut in that order; ``part`` counts a key's arrays from 0. However
+    large a key is, no task gathers more than ``most`` of its values for one array."""
+    numbered = row_number(df.select(key, value), [value], "_n", [key], parts)
+    part = F.floor((F.col("_n") - 1) / F.lit(most)).cast("bigint")
+    grouped = numbered.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("_n", value))).alias("_v"))
+    return grouped.select(key, "part", F.transform("_v", lambda v: v[value]).alias(name))
+
+
 def row_number(df: DataFrame, order: Sequence[str], name: str, partition: Sequence[str] = (),
                parts: int | None = None) -> DataFrame:
     """``df`` with ROW_NUMBER() OVER (PARTITION BY partition ORDER BY order)."""

@@ -58,6 +58,14 @@ def scan_orders(s, d):
     return shop.order_headers().join(per_order, "order_id", "left")
 
 
+def scan_order_arrays(s, d):
+    """The lines of every order as arrays of at most 64 product ids, in text form."""
+    arrays = prefix.in_arrays(facts.order_items(_shop(s, d)), "order_id", "product_id", "product_ids")
+    text = F.transform("product_ids", lambda x: F.coalesce(x.cast("string"), F.lit("-")))
+    return arrays.select("order_id", "part", F.size("product_ids").cast("bigint").alias("n_items"),
+                         F.array_join(text, ",").alias("product_ids"))
+
+
 def scan_products(s, d):
     return _dbl(_shop(s, d).products, "price")
 
@@ -633,7 +641,7 @@ def user_avg_check(s, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    scan_user_actions, scan_orders, scan_products, scan_courier_actions,
+    scan_user_actions, scan_orders, scan_order_arrays, scan_products, scan_courier_actions,
     project_alias, project_qualified, filter_eq, filter_and, filter_in_list, filter_date_range,
     filter_ts_range, valid_orders_not_in, cancel_flag_filter,
     order_to_lines_left, lines_to_products_left, daily_star_left, weekday_star_left,

@@ -34,6 +34,13 @@ ORACLE = {
     "scan_user_actions": 'SELECT user_id, order_id, action, "time" FROM ua',
     "scan_orders": """SELECT order_id, creation_time, CAST(len(product_ids) AS BIGINT) AS n_items,
                              CAST(list_sum(product_ids) AS BIGINT) AS items_sum FROM ord""",
+    "scan_order_arrays": """
+        SELECT order_id, CAST((n - 1) // 64 AS BIGINT) AS part, COUNT(*) AS n_items,
+               string_agg(COALESCE(CAST(product_id AS VARCHAR), '-'), ',' ORDER BY n) AS product_ids
+        FROM (SELECT l_orderkey AS order_id, l_partkey AS product_id,
+                     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey ASC NULLS LAST) AS n
+              FROM lineitem) numbered
+        GROUP BY 1, 2""",
     "scan_products": "SELECT product_id, name, CAST(price AS DOUBLE) AS price FROM prod",
     "scan_courier_actions": 'SELECT courier_id, order_id, action, "time" FROM ca',
     # projection, filters

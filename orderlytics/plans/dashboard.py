@@ -20,16 +20,17 @@ from pyspark.sql import DataFrame
 from orderlytics.operators import facts
 from orderlytics.plans import economics as E
 from orderlytics.plans import marketing as M
-from orderlytics.session import ensure_checkpoint_dir
+from orderlytics.session import stored_folder
 from orderlytics.sources.params import (FIRST_WEEK, WEEKDAY_WINDOW, Campaigns, CostModel,
                                         Folding, VatRule)
 from orderlytics.sources.tables import Shop
 
 
 def prepare(shop: Shop, folder: str | None = None) -> Shop:
-    """Materialise the cancelled ids and the priced valid lines once."""
+    """Materialise the cancelled ids and the priced valid lines once, in ``folder`` or
+    among the application's stored tables, which ``session.clear_stored`` deletes."""
     spark = shop.user_actions.sparkSession
-    root = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepared-{uuid.uuid4().hex}"
+    root = folder or f"{stored_folder(spark)}/prepared-{uuid.uuid4().hex}"
     cancelled = facts.cancelled_orders(shop.user_actions)
     cancelled.write.mode("overwrite").parquet(f"{root}/cancelled_ids")
     cancelled = spark.read.parquet(f"{root}/cancelled_ids")

@@ -66,7 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def _stored(spark: SparkSession) -> str:
+def stored_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderlytics-{spark.sparkContext.applicationId}"
 
 
@@ -74,12 +75,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the folder named by ``spark.checkpoint.dir``
     and read back. ``clear_stored`` deletes it; until then it may be read again."""
     spark = df.sparkSession
-    path = f"{_stored(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stored_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete what this application stored, once the results made from it are kept."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stored(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

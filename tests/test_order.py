@@ -17,7 +17,7 @@ from test_fuzz import make_tables
 
 #: Sorted queries and their sort key.
 SORTED = {"m1_cac": "cac", "m2_roi": "roi", "m3_avg_check": "avg_check", "e2_arpu_arppu_aov": "dt",
-          "e4_weekday_arpu": "weekday_number", "e6_product_share": "revenue", "sort_asc": "dt",
+          "m2_roi_arrays": "roi", "e4_weekday_arpu": "weekday_number", "e6_product_share": "revenue", "sort_asc": "dt",
           "sort_desc": "revenue", "sort_alias_shadow": "price"}
 #: Those with rows enough that no other order passes by chance.
 LONG = ["e2_arpu_arppu_aov", "e4_weekday_arpu", "sort_asc", "sort_desc", "sort_alias_shadow"]

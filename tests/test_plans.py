@@ -5,6 +5,7 @@ column pruning reaching the Parquet scans."""
 from __future__ import annotations
 
 import re
+from itertools import takewhile
 
 import pytest
 
@@ -18,18 +19,27 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(params=["as they come", "off"])
+def broadcasts(spark, request):
+    """Plans at this scale broadcast every small table; at scale they do not."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if request.param == "off":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.METRICS))
-def test_metric_plan_shape(spark, name):
+def test_metric_plan_shape(spark, name, broadcasts):
     p = plan(QUERIES[name](spark, SF_SMALL))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
                 "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert bad not in p, (name, bad)
-    # A single-partition exchange may only feed a window over aggregated rows.
-    lines = p.splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            below = "\n".join(lines[i + 1:i + 8])
-            assert "HashAggregate" in below or "Window" in below or "Project" in below, name
+    # A single-partition exchange may only carry rows that were aggregated.
+    nodes = _tree(p)
+    for i, (_, text) in enumerate(nodes):
+        if text.startswith("Exchange SinglePartition"):
+            assert _reduced_below(nodes, i), name
 
 
 def test_window_filter_reaches_the_scan(spark):
@@ -91,7 +101,7 @@ def _reduced_below(nodes, at: int) -> bool:
 
 
 @pytest.mark.parametrize("name", sorted(oracle.METRICS))
-def test_no_raw_rows_reach_a_single_key_task(spark, name):
+def test_no_raw_rows_reach_a_single_key_task(spark, name, broadcasts):
     """Every exchange that feeds an aggregate or a window carries rows that were
     already aggregated (partial aggregation or a reduced series), so a key that
     holds a third of the data is combined map-side before its shuffle."""
@@ -116,6 +126,26 @@ def test_users_are_read_in_one_pass(spark, name, exchanges):
     assert len(by_user) == exchanges, by_user
 
 
+def test_m6_reads_the_action_log_once(spark):
+    """Both its series come from one aggregate: the two parts of the log (orders and
+    their cancellations) are read with their users once each."""
+    scans = re.findall(r"ReadSchema: (struct<[^>]*>)", plan(QUERIES["m6_cumulative_arppu"](spark, SF_SMALL)))
+    assert len([s for s in scans if "o_custkey" in s]) == 2, scans
+    assert len([s for s in scans if "l_orderkey" in s]) == 1, scans
+
+
+@pytest.mark.parametrize("name", ["agg_sum", "e6_product_share"])
+def test_lines_are_counted_before_the_price_lookup(spark, name, broadcasts):
+    """Nothing is dealt by product that was not counted by product in its task."""
+    nodes = _tree(plan(QUERIES[name](spark, SF_SMALL)))
+    below = lambda i: [t for _, t in takewhile(lambda n: n[0] > nodes[i][0], nodes[i + 1:])]
+    by_product = [i for i, (_, t) in enumerate(nodes) if re.match(r"Exchange hashpartitioning\((l_partkey|product_id)#", t)
+                  and any("l_partkey" in b for b in below(i))]
+    assert by_product
+    for i in by_product:
+        assert nodes[i + 1][1].startswith("HashAggregate"), nodes[i + 1]
+
+
 def test_skew_join_split_is_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"

@@ -72,6 +72,22 @@ def test_equal_rows_are_told_apart(spark):
     assert before.count(None) == 1 and len(set(before)) == 400
 
 
+def test_arrays_are_bounded(spark):
+    """A key of half the rows is many arrays, which together hold its values in order."""
+    rows = {}
+    df = table(spark)
+    for r in prefix.in_arrays(df, "shop", "amount", "amounts", most=7, parts=5).collect():
+        assert 1 <= len(r["amounts"]) <= 7
+        rows.setdefault(r["shop"], []).append((r["part"], r["amounts"]))
+    held = {}
+    for r in df.collect():
+        held.setdefault(r["shop"], []).append(r["amount"])
+    for shop, parts in rows.items():
+        assert [p for p, _ in sorted(parts)] == list(range(len(parts)))
+        assert [a for _, some in sorted(parts) for a in some] == sorted(held[shop], key=lambda a: (a is None, a or 0))
+    assert rows.keys() == held.keys()
+
+
 def test_empty_and_one_row(spark):
     df = table(spark)
     assert prefix.running_totals(df.limit(0), ["amount"], ["day"]).collect() == []

@@ -21,9 +21,23 @@ from orderlytics.plans import oracle, registry  # noqa: E402
 from orderlytics.session import get_session  # noqa: E402
 
 
+def final(plan: str) -> str:
+    """The final plans, of the query and of its subqueries, without the initial ones: a
+    section goes on for as long as its lines are indented more than its title."""
+    out, skip = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        if skip is not None and line.strip() and depth <= skip:
+            skip = None
+        if "== Initial Plan ==" in line:
+            skip = depth
+        if skip is None:
+            out.append(line)
+    return "\n".join(out)
+
+
 def summarise(plan: str) -> dict:
-    # keep the final adaptive plans only (each subquery prints its own sections)
-    plan = re.sub(r"== Initial Plan ==.*?(?=== Final Plan ==|\Z)", "", plan, flags=re.S)
+    plan = final(plan)
     joins = collections.Counter(
         f"{m.group(1)} {m.group(2)}" for m in
         re.finditer(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin)"
@@ -43,7 +57,7 @@ def summarise(plan: str) -> dict:
         "reused exchanges": len(re.findall(r"ReusedExchange", plan)),
         "single-partition exchanges": len(re.findall(r"Exchange SinglePartition", plan)),
         "joins": dict(joins),
-        "scans": sorted(set(scans)),
+        "scans": sorted(collections.Counter(scans).items()),
     }
 
 
@@ -52,15 +66,15 @@ def main():
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.1")
     ap.add_argument("--out", default="PLANS.md")
     args = ap.parse_args()
-    spark = get_session(master="local[8]", shuffle_partitions=16)
+    spark = get_session(master="local[8]", shuffle_partitions=16, conf={
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     qs = registry.queries()
     out = ["# Physical plans of the metrics",
            "",
            f"Generated by `tools/plan_report.py` at `{args.sf_dir}` on `local[8]` (AQE on), from the",
-           "final adaptive plans after each query ran. Join strategies are chosen by size at this",
-           "scale (broadcast when under `spark.sql.autoBroadcastJoinThreshold`); at cluster scale",
-           "the same plans use sort-merge joins on the same keys. Every scan reads only the listed",
-           "columns.",
+           "final adaptive plans after each query ran, with broadcasts by size switched off, as",
+           "between large tables. (The broadcasts left are bounded by construction: the bitmap of",
+           "`operators.pruning`.) Every scan reads only the listed columns.",
            "",
            "What the plans show (and `tests/test_plans.py` asserts): cancellations are plain",
            "`LeftAnti` hash joins, never the null-aware form `NOT IN` produces; no nested-loop or",
@@ -81,9 +95,9 @@ def main():
         joins = ", ".join(f"{k} ×{v}" for k, v in sorted(s["joins"].items())) or "none"
         out.append(f"- joins: {joins}")
         out.append("- scans (table: columns read | filters pushed to Parquet):")
-        for table, schema, pushed in s["scans"]:
+        for (table, schema, pushed), times in s["scans"]:
             cols = ", ".join(c.split(":")[0] for c in schema.split(","))
-            out.append(f"  - `{table}`: {cols} | {pushed or '—'}")
+            out.append(f"  - `{table}`{f' ×{times}' if times > 1 else ''}: {cols} | {pushed or '—'}")
         out.append("")
     spark.stop()
     with open(args.out, "w") as f:
