@@ -136,11 +136,12 @@ def _links(seeds: DataFrame) -> DataFrame:
              .mapInArrow(link, "kind byte, seed long, doc long, place int, source long, source_place int"))
     found = scratch.table(found)
     columns = ["doc", "place", "source", "source_place"]
-    firsts = found.where("kind = 1").groupBy("seed").agg(F.min(F.struct("source", "source_place")).alias("f"))
+    # stored, as an aggregate beside the join would keep Spark from splitting a common seed
+    firsts = scratch.table(found.where("kind = 1").groupBy("seed").agg(F.min(F.struct("source", "source_place")).alias("f")))
     others = found.where("kind = 2").select("seed", "doc", "place").join(firsts, "seed").select(
         "doc", "place", "f.source", "f.source_place").where("doc <> source")
     links = scratch.table(found.where("kind = 0").select(*columns).unionByName(others))
-    scratch.drop(found)
+    scratch.drop(found, firsts)
     return links
 
 
