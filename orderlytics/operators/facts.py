@@ -17,9 +17,9 @@ Scale notes
   joins on the order id (``operators.skew``).
 * A date window on actions or orders prunes the order lines before their shuffle
   (``operators.pruning``).
-* What only needs an order's price joins to one row per order, summed map-side below
-  the join, rather than to its lines (``order_prices``); what only needs a product's
-  revenue looks its price up once (``product_revenue``).
+* Where order ids are hot, what only needs an order's price joins to one row per order,
+  summed map-side below the join, rather than to its lines (``order_prices``); what only
+  needs a product's revenue looks its price up once (``product_revenue``).
 """
 
 from __future__ import annotations
@@ -262,9 +262,15 @@ def campaign_order_lines(shop: Shop, campaigns: Campaigns, cancelled: DataFrame
 
 def campaign_order_prices(shop: Shop, campaigns: Campaigns, cancelled: DataFrame | None = None,
                           window: tuple | None = None) -> DataFrame:
-    """ads_campaign, user_id, order_id, time, order_price: each surviving action row
-    with the price of its order, NULL without lines. Sums of it equal the sums of
-    ``price`` over ``campaign_order_lines``."""
+    """ads_campaign, user_id, order_id, time, order_price: rows whose sums of
+    ``order_price`` equal those of ``price`` over ``campaign_order_lines``.
+
+    Where the log has hot order ids, one row per surviving action with the price of its
+    order, as one row per hot order is all that their actions must meet; else the lines
+    themselves, which saves summing the orders that nobody asks for."""
+    if not hot_orders(shop):
+        lines = campaign_order_lines(shop, campaigns, cancelled, window)
+        return lines.select("ads_campaign", "user_id", "order_id", "time", F.col("price").alias("order_price"))
     if _is_prepared(shop, cancelled):
         prices = shop.priced_lines.groupBy("order_id").agg(money_total("price").alias("order_price"))
         return _with_orders(shop, campaigns, cancelled, window, lambda bitmap: prices, once=True)
