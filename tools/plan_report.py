@@ -23,11 +23,11 @@ from orderlytics.session import get_session  # noqa: E402
 
 def final(plan: str) -> str:
     """The final plans, of the query and of its subqueries, without the initial ones: a
-    section goes on for as long as its lines are indented more than its title."""
+    section goes on for as long as its lines are indented no less than its title."""
     out, skip = [], None
     for line in plan.splitlines():
         depth = len(line) - len(line.lstrip(" :+-|"))
-        if skip is not None and line.strip() and depth <= skip:
+        if skip is not None and line.strip() and depth < skip:
             skip = None
         if "== Initial Plan ==" in line:
             skip = depth
