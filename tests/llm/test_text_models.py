@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orderlytics.llm import lm_score, quality, registry, toxicity
+from orderlytics.llm.textscan import Scanner
 
 SCHEMA = "doc_id long, text string, score double, ratio string"
 ODD = [(1, None), (2, ""), (3, " \t"), (None, "a b"), (5, "x " * 20_000), (5, "x " * 20_000), (6, "A b  c\na B")]
@@ -76,6 +78,63 @@ def test_lm_score_learns_every_word(spark):
         assert score[1] < 0 < score[2]
 
 
+def kneser_ney_by_hand(texts, telling):
+    """text -> mean log-likelihood ratio per word, with dictionaries of words."""
+    runs = {c: {(b, h, w) for t, k in texts if k == c for b, h, w in zip([None, None, *t], [None, *t], t)} for c in (1, 0)}
+    pairs = {c: Counter((h, w) for _, h, w in runs[c]) for c in runs}
+    words = {c: Counter(w for _, w in pairs[c]) for c in runs}
+    left = Counter(w for _, w in {*pairs[1], *pairs[0]})
+
+    def stays(k, m, total):
+        odds = total[1] / total[0]
+        near = min(max(k / (k + m), odds / 4 / (1 + odds / 4)), odds * 4 / (1 + odds * 4))
+        x = 2 * sum(a * math.log(a / (k + m) / p) for a, p in ((k, near), (m, 1 - near)) if a)
+        return max(0.0, 1 - telling / x) if x > telling else 0.0
+
+    sums = {c: sum(words[c].values()) for c in runs}
+
+    def word(w):
+        if not left[w]:
+            return 0.0
+        p = {c: (max(words[c][w] - 0.75, 0) + 0.75 * len(words[c]) * left[w] / sum(left.values())) / sums[c] for c in runs}
+        return stays(words[1][w], words[0][w], sums) * math.log(p[1] / p[0])
+
+    def one(h, w):
+        k = {c: pairs[c][h, w] for c in runs}
+        weight = stays(k[1], k[0], {c: sum(pairs[c].values()) for c in runs}) if any(k.values()) else 0.0
+        p = {}
+        for c in runs:
+            n = sum(v for (a, _), v in pairs[c].items() if a == h)
+            back = 0.75 * sum(a == h for a, _ in pairs[c]) / n if n else 1.0
+            pooled = (words[1][w] + words[0][w]) / sum(sums.values())
+            p[c] = max(k[c] - 0.75, 0) / max(1, n) + back * pooled * math.exp((word(w) if c else -word(w)) / 2)
+        return weight * math.log(p[1] / p[0]) + (1 - weight) * word(w) if weight else word(w)
+
+    return lambda t: sum(one(h, w) for h, w in zip([None, *t], t)) / max(1, len(t))
+
+
+def test_toxicity_models_by_hand(spark):
+    """Words, pairs and shrinkage of the model of all texts, and of those outside each fold."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(240):
+        t = [f"w{x}" for x in rng.integers(0, 40, 25)]
+        if i % 4 == 0:
+            for at in rng.integers(0, 24, 3):
+                t[at:at + 2] = ["bad", "thing"] if at % 2 else ["w1", f"rude{at % 5}"]
+        texts.append((t, int(i % 4 == 0), i % 3))
+    rows = [(" ".join(t), k, f) for t, k, f in texts] + [(None, 1, 0), ("", 0, 1)]
+    counts = toxicity.Counts(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    asked = [t for t, _, _ in texts[:12]] + [[], ["bad", "thing"], ["never", "seen", "bad"]]
+    column = pa.array([" ".join(t) for t in asked])
+    for fold in range(toxicity.FOLDS + 1):
+        found = np.concatenate([toxicity.ratios(counts.model(fold, (0.5, 4.0)), w) for w in Scanner(lower=True).blocks(column)])
+        for c, telling in enumerate((0.5, 4.0)):
+            hand = kneser_ney_by_hand([(t, k) for t, k, f in texts if f != fold], telling)
+            assert np.allclose(found[:, c], [hand(t) for t in asked], atol=1e-9)
+        assert found[-2].min() > 0.5
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     for rows, some in ((ODD, labels), ([], labels), (ODD, labels.limit(0))):
