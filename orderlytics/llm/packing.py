@@ -4,7 +4,8 @@ Only the histogram of lengths (at most ``cap`` counts) reaches the driver. There
 the linear program over bin configurations is solved by multiplicative weights:
 each step prices the lengths by what is still uncovered, a knapsack dynamic
 program finds the dearest configuration, and its share grows. The shares are
-rounded down to whole bins; what is left goes best-fit into the room left over.
+rounded down to whole bins; what is left goes best-fit into the room left over. The
+pieces of bins that are still not full are placed best-fit once more, if that saves bins.
 Everything is done by length and multiplicity, so the driver's work depends on
 ``cap`` alone. Pieces are then placed by their rank within their length.
 """
@@ -25,9 +26,9 @@ from orderlytics.llm import scratch
 
 CAP = 2048
 #: The linear program measures lengths in this part of a bin, rounded up (the bins do not).
-GRAIN = 128
+GRAIN = 256
 #: Times that the multiplicative weights cover each length, and most steps they take.
-ROUNDS, STEPS = 16, 8000
+ROUNDS, STEPS = 64, 8000
 #: How fast a length's price falls as it gets covered; small steps near the optimum.
 RATE = 0.25
 
@@ -107,21 +108,23 @@ def _encoder(path: str):
 def _dearest(value: np.ndarray, size: np.ndarray, room: int) -> dict[int, int]:
     """The configuration {index: copies} of largest total value within ``room``
     (unbounded knapsack; sizes ascend)."""
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    worth = np.full(room + 1, -np.inf)
+    worth[size] = value
+    # back[room - r] is best[r]: what sizes from 1 on leave room for is a slice
+    back, last = np.zeros(room + 1), np.zeros(room + 1, int)
     for r in range(int(size[0]), room + 1):
-        n = np.searchsorted(size, r, "right")
-        worth = value[:n] + best[r - size[:n]]
-        k = int(worth.argmax())
-        best[r], last[r] = worth[k], k
-        if best[r - 1] >= best[r]:
-            best[r], last[r] = best[r - 1], -1
+        total = worth[1:r + 1] + back[room - r + 1:]
+        s = int(total.argmax())
+        if total[s] > back[room - r + 1]:
+            back[room - r], last[r] = total[s], s + 1
+        else:
+            back[room - r] = back[room - r + 1]
+    place = {int(s): k for k, s in enumerate(size)}
     config, r = defaultdict(int), room
     while r > 0:
-        if last[r] < 0:
-            r -= 1
-        else:
-            config[int(last[r])] += 1
-            r -= int(size[last[r]])
+        if last[r]:
+            config[place[int(last[r])]] += 1
+        r -= max(1, int(last[r]))
     return config
 
 
@@ -215,7 +218,19 @@ def plan(histogram: dict[int, int], cap: int = CAP, unit: int | None = None,
                 n = left[s]
             left[s] -= n
             put((*lengths, s), n)
-    return kinds + [kind for bins in open_bins.values() for kind in bins]
+    kinds += [kind for bins in open_bins.values() for kind in bins]
+    loose = [(lengths, n) for lengths, n in kinds if sum(lengths) < cap]
+    if not found or not loose:
+        return kinds
+    # bins that are not full are opened once more, where their pieces fit into fewer
+    opened = defaultdict(int)
+    for lengths, n in loose:
+        for s in lengths:
+            opened[s] += n
+    again = plan(opened, cap, unit, steps=0)
+    if sum(n for _, n in again) < sum(n for _, n in loose):
+        kinds = [kind for kind in kinds if sum(kind[0]) == cap] + again
+    return kinds
 
 
 def _slots(kinds: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
