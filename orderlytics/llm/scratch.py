@@ -59,14 +59,15 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession, *kept: DataFrame) -> None:
-    """Delete every table this application wrote, but for the tables ``kept``, and let Spark delete
+    """Delete every table this application wrote, but for the tables ``kept``, which
+    only ``drop`` and ``clear`` delete from then on, and let Spark delete
     the shuffles of plans that are no longer referred to: it does so for those that the
     driver's garbage collector finds. Call it when what was derived from the tables has
     been stored."""
     keep = {vars(df)["scratch_path"] for df in kept if "scratch_path" in vars(df)}
     for path in _held.get(_folder(spark), set()) - keep:
         _delete(spark, path)
-    _held[_folder(spark)] = keep
+    _held[_folder(spark)] = set()  # the tables kept are the caller's from now on
     forget(spark)
 
 
