@@ -77,5 +77,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        last, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        scratch.drop(*(df for df in [last] if "scratch_path" in vars(df)))
     return STAGES[-1][1](spark, docs, sf_dir)
