@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlytics.functions import MONEY_SUM, money_total
+from orderlytics.functions import MONEY_SUM, day, money_total
 from orderlytics.operators.pruning import id_bitmap, prune
 from orderlytics.operators.skew import HotKeys, Route, hot_keys, routed, split_join
 from orderlytics.sources.params import Campaigns
@@ -180,20 +180,36 @@ def product_revenue(shop: Shop, cancelled: DataFrame | None = None) -> DataFrame
     return with_products(sold, shop.products).select("product_id", "name", revenue.cast(MONEY_SUM).alias("revenue"))
 
 
+def order_day_prices(shop: Shop, cancelled: DataFrame | None = None) -> DataFrame:
+    """order_id, dt (creation day), order_price of valid orders that have lines; rows of
+    an order may repeat, their sums are those over its lines. Normalised lines are priced
+    and summed by order below the join to the order rows, partially in each task, so that
+    the join sorts one row per order and no line."""
+    if _is_prepared(shop, cancelled) or shop.order_items is None:
+        return order_lines(shop, cancelled).groupBy("order_id", day("creation_time").alias("dt")).agg(
+            money_total("price").alias("order_price"))
+    cancelled = cancelled_of(shop) if cancelled is None else cancelled
+    headers = valid(shop.order_headers(), cancelled).select("order_id", day("creation_time").alias("dt"))
+    return headers.join(_item_sums(shop.order_items, shop), "order_id")
+
+
+def _item_sums(items: DataFrame, shop: Shop) -> DataFrame:
+    """order_id, order_price: SUM(price) over the items of each order."""
+    return (with_products(items, shop.products.select("product_id", "price"))
+            .groupBy("order_id").agg(money_total("price").alias("order_price")))
+
+
 def order_prices(shop: Shop, bitmap: DataFrame | None = None) -> DataFrame:
     """order_id, order_price: SUM(price) over the lines of each order, one row per order
     that has lines (an order listed twice counts its lines twice). Lines are priced and
     summed by order below the join to the order rows, partially in each task. ``bitmap``
     (``operators.pruning``) drops other orders right after the scans."""
-    prices = shop.products.select("product_id", "price")
     pick = (lambda df: df) if bitmap is None else (lambda df: prune(df, "order_id", bitmap))
     if shop.order_items is None:
-        lines = pick(shop.orders).select("order_id", F.explode("product_ids").alias("product_id"))
-        return with_products(lines, prices).groupBy("order_id").agg(money_total("price").alias("order_price"))
-    summed = (with_products(pick(shop.order_items), prices)
-              .groupBy("order_id").agg(money_total("price").alias("order_price")))
+        return _item_sums(pick(shop.orders).select("order_id", F.explode("product_ids").alias("product_id")), shop)
     listed = pick(shop.order_headers().select("order_id"))
-    return listed.join(summed, "order_id").groupBy("order_id").agg(money_total("order_price").alias("order_price"))
+    return listed.join(_item_sums(pick(shop.order_items), shop), "order_id").groupBy("order_id").agg(
+        money_total("order_price").alias("order_price"))
 
 
 def tag_campaign(df: DataFrame, campaigns: Campaigns) -> DataFrame:

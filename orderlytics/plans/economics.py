@@ -96,12 +96,9 @@ def e5_new_user_share(shop: Shop) -> DataFrame:
     """dt, revenue, new_users_revenue, new_users_revenue_share,
     old_users_revenue_share. Revenue is by order creation day; new users'
     revenue by their action day (the two clocks of the metric)."""
-    cancelled = facts.cancelled_of(shop)
-    lines = facts.order_lines(shop, cancelled)
-    # One pass over the lines, reduced per (order, creation day); daily revenue
-    # and each order's price are both read from that aggregate's shuffle.
-    per_order_day = lines.groupBy("order_id", day("creation_time").alias("dt")).agg(
-        money_total("price").alias("order_price"))
+    # One pass over the lines, reduced per order; daily revenue and each order's price are
+    # both read from that aggregate's shuffle.
+    per_order_day = facts.order_day_prices(shop)
     total = per_order_day.groupBy("dt").agg(money_total("order_price").alias("revenue"))
     prices = per_order_day.groupBy("order_id").agg(money_total("order_price").alias("order_price"))
     new = daily.first_day_revenue(shop.user_actions, prices, facts.hot_orders(shop))

@@ -253,3 +253,32 @@ def test_duplicated_order_rows_with_and_without_lines(spark):
         got = rows(facts.campaign_order_lines(s, c), "order_id", "product_id", "price")
         # order 1 is listed twice: its line twice; order 2 (twice, no lines): one NULL row
         assert got == [(1, 5, 3), (1, 5, 3), (2, None, None)], got
+
+
+def test_odd_orders_as_arrays_and_as_items(spark):
+    """Orders listed twice, without lines, with an empty array beside a full one, of missing
+    products and without id: E5 and the lines of campaign users are the same in both forms."""
+    from orderlytics.operators import facts
+    shop = micro_shop(
+        spark,
+        [(1, 1, C, ts(1)), (1, 1, "pay_order", ts(1)), (2, 2, C, ts(1)), (3, 3, C, ts(2)), (3, 4, C, ts(2)),
+         (4, 5, C, ts(2)), (4, 5, X, ts(2, 11)), (5, None, C, ts(3)), (None, 6, C, ts(3)), (6, 9, C, ts(3))],
+        [(1, ts(1), [7, 8]), (1, ts(2), [7, 8]), (2, ts(1), None), (3, ts(2), []), (3, ts(2), [8, None, 99]),
+         (4, ts(2), []), (5, ts(2), [7]), (6, ts(3), [7]), (None, ts(3), [7])],
+        [(7, "x", 20), (8, "y", 5)])
+    norm = type(shop)(shop.user_actions, shop.orders.select("order_id", "creation_time"), shop.products,
+                      shop.courier_actions, spark.createDataFrame(
+                          [(1, 7), (1, 8), (5, 7), (6, 7), (None, 7)], "order_id BIGINT, product_id BIGINT"))
+    one = shop.orders.filter("order_id IS NULL OR order_id <> 3")     # as items, order 3 would be listed twice
+    c = campaigns(spark, [(1, u) for u in range(1, 7)])
+    got = rows(facts.campaign_order_lines(shop, c), "user_id", "order_id", "product_id", "price")
+    assert got == sorted(
+        [(1, 1, 7, 20.0), (1, 1, 8, 5.0)] * 4 + [(2, 2, None, None), (3, 3, 8, 5.0), (3, 3, None, None), (3, 3, 99, None),
+                                                  (3, 4, None, None), (5, None, None, None), (6, 9, None, None)],
+        key=lambda t: tuple((x is None, str(x)) for x in t))
+    nested = type(shop)(shop.user_actions, one, shop.products, shop.courier_actions)
+    want = [(D(2022, 9, 1), 25.0, 100.0, 400.0, -300.0), (D(2022, 9, 2), 25.0, 0.0, 0.0, 100.0),
+            (D(2022, 9, 3), 20.0, 0.0, 0.0, 100.0)]
+    for s in (nested, norm):
+        assert rows(E.e5_new_user_share(s), "dt", "revenue", "new_users_revenue", "new_users_revenue_share",
+                    "old_users_revenue_share") == want

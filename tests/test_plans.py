@@ -146,6 +146,17 @@ def test_lines_are_counted_before_the_price_lookup(spark, name, broadcasts):
         assert nodes[i + 1][1].startswith("HashAggregate"), nodes[i + 1]
 
 
+def test_e5_sums_lines_by_order_before_the_join(spark, broadcasts):
+    """Lines reach the join to the order rows summed by order: no task sorts the lines."""
+    nodes = _tree(plan(QUERIES["e5_new_user_share"](spark, SF_SMALL)).split("== Initial Plan ==")[-1])
+    below = lambda i: [t for _, t in takewhile(lambda n: n[0] > nodes[i][0], nodes[i + 1:])]
+    by_order = [i for i, (_, t) in enumerate(nodes) if re.match(r"(Exchange hashpartitioning|Sort \[)\(?(l_orderkey|order_id)#", t)
+                and any("l_partkey" in b for b in below(i))]
+    assert by_order
+    for i in by_order:
+        assert any(b.startswith("HashAggregate(keys=[order_id#") for b in below(i)), nodes[i]
+
+
 def test_skew_join_split_is_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
