@@ -272,10 +272,26 @@ def campaign_order_lines(shop: Shop, campaigns: Campaigns, cancelled: DataFrame
         # The actions only touch never-cancelled orders, whose priced lines are prepared.
         priced = shop.priced_lines.select("order_id", "product_id", "price")
         return _with_orders(shop, campaigns, cancelled, window, lambda bitmap: priced, once=False)
-    lines = _with_orders(shop, campaigns, cancelled, window, lambda bitmap: existing_order_items(shop, bitmap), once=False)
+    if shop.order_items is None:
+        lines = _unnested(_with_orders(shop, campaigns, cancelled, window, lambda bitmap: _filled_orders(shop, bitmap), once=False))
+    else:
+        lines = _with_orders(shop, campaigns, cancelled, window, lambda bitmap: existing_order_items(shop, bitmap), once=False)
     return with_products(lines, shop.products.select("product_id", "price"))
 
 
+def _filled_orders(shop: Shop, bitmap: DataFrame | None) -> DataFrame:
+    """order_id, product_ids of the orders that have lines: a join sorts one row for each
+    array, and ``_unnested`` gives the lines after it."""
+    filled = shop.orders.select("order_id", "product_ids").filter(F.size("product_ids") > 0)
+    return filled if bitmap is None else prune(filled, "order_id", bitmap)
+
+
+def _unnested(rows: DataFrame) -> DataFrame:
+    """A row per product of ``product_ids``; rows without an array keep one, of product NULL."""
+    kept = [c for c in rows.columns if c != "product_ids"]
+    return rows.select(*kept, F.explode_outer("product_ids").alias("product_id"))
+
+
 def campaign_order_prices(shop: Shop, campaigns: Campaigns, cancelled: DataFrame | None = None,
                           window: tuple | None = None) -> DataFrame:
     """ads_campaign, user_id, order_id, time, order_price: rows whose sums of

@@ -157,6 +157,16 @@ def test_e5_sums_lines_by_order_before_the_join(spark, broadcasts):
         assert any(b.startswith("HashAggregate(keys=[order_id#") for b in below(i)), nodes[i]
 
 
+def test_arrays_are_unnested_above_the_joins(spark, broadcasts):
+    """M2 over arrays sorts one row per array: no sort or shuffle by order has the lines."""
+    nodes = _tree(plan(QUERIES["m2_roi_arrays"](spark, SF_SMALL)).split("== Initial Plan ==")[-1])
+    below = lambda i: [t for _, t in takewhile(lambda n: n[0] > nodes[i][0], nodes[i + 1:])]
+    assert any(t.startswith("Generate") for _, t in nodes)
+    for i, (_, t) in enumerate(nodes):
+        if re.match(r"(Exchange hashpartitioning|Sort \[)\(?order_id#", t):
+            assert not any(b.startswith("Generate") for b in below(i)), t
+
+
 def test_skew_join_split_is_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
