@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ class Pieces(NamedTuple):
     rank: np.ndarray         # merge order by id; that of base symbols is -1
     left: np.ndarray         # the symbols of a piece's last merge, -1 for base symbols
     right: np.ndarray
-    pair: np.ndarray         # sorted left * size + right of pairs that can merge
+    pair: np.ndarray         # left * size + right of pairs that can merge, a hash table; -1 where it is free
     merged: np.ndarray       # the rank of the piece they form
     usable: np.ndarray       # whether a piece is its own encoding
     byte: np.ndarray         # ids of the byte pieces
@@ -98,14 +99,48 @@ def load(path: str) -> Pieces:
         for cut in range(1, len(s)):
             if s[:cut] in ids and s[cut:] in ids:
                 pairs[ids[s[:cut]] * size + ids[s[cut:]]] = rank[s]
-    keys = np.array(sorted(pairs), np.int64)
+    keys, merged = hashed(np.array(sorted(pairs), np.int64), np.array([pairs[k] for k in sorted(pairs)], np.int64))
     byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
     use = np.flatnonzero(usable & np.array([s != "" for s in name]))
-    return Pieces([s.encode() for s in name], np.array([rank.get(s, -1) for s in name]), left, right, keys,
-                  np.array([pairs[k] for k in keys.tolist()]), usable, byte,
+    use = np.array(sorted(use.tolist(), key=lambda i: name[i].encode()), np.int64)  # searched for in order, which is faster
+    return Pieces([s.encode() for s in name], np.array([rank.get(s, -1) for s in name]), left, right, keys, merged, usable, byte,
                   frozenset(s for s in ids if len(s) == 1), sought([name[i].encode() for i in use], use))
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where each key is looked for first, in a table of ``size`` slots, a power of two."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (0 or more) and their values in a table with free slots (-1) after
+    every run of keys: a key stands in its slot, or in one of those that follow."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    table, held = np.full(size, -1, np.int64), np.full(size, 1 << 60, np.int64)
+    slot, left = _slots(keys, size), np.arange(len(keys))
+    while len(left):
+        free = table[slot[left]] < 0
+        at, first = np.unique(slot[left][free], return_index=True)
+        table[at], held[at] = keys[left[free][first]], values[left[free][first]]
+        left = left[table[slot[left]] != keys[left]]
+        slot[left] = (slot[left] + 1) & (size - 1)
+    return table, held
+
+
+def look_up(table: np.ndarray, held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys' values; 1 << 60 for those that ``table`` has not."""
+    slot = _slots(keys, len(table))
+    found = table[slot]
+    out = held[slot]  # 1 << 60 where the slot is free
+    away = np.flatnonzero((found != keys) & (found >= 0))
+    while len(away):
+        slot[away] = (slot[away] + 1) & (len(table) - 1)
+        found = table[slot[away]]
+        out[away] = held[slot[away]]
+        away = away[(found != keys[away]) & (found >= 0)]
+    return out
+
+
 def _plain(p: Pieces) -> tuple:
     """``p`` without classes of this library: a broadcast is read without it."""
     return *p[:-1], tuple(p.sought)
@@ -123,8 +158,7 @@ def follows(p: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     limit, size = np.full(len(at), 1 << 61), len(p.text)
     loose = np.zeros(len(at), dtype=bool)  # the merge undone last was right of the border: equals go first
     while len(at):
-        place = np.minimum(np.searchsorted(p.pair, x * size + y), len(p.pair) - 1)
-        early = np.where(p.pair[place] == x * size + y, p.merged[place], 1 << 60)
+        early = look_up(p.pair, p.merged, x * size + y)
         bad = (early < limit) & (early < 1 << 60) | loose & (early == limit)
         ok[at[bad]] = False
         later = p.rank[y] >= p.rank[x]  # of two equal merges the left one came first
@@ -154,13 +188,7 @@ def occurrences(words: list[bytes], pieces: Sought) -> tuple[np.ndarray, np.ndar
     suffix = np.lexsort((low, high))
     high, low = high[suffix], low[suffix]
 
-    def bounds(rows):
-        a = np.searchsorted(high, rows[:, 0], "left")
-        b = np.searchsorted(high, rows[:, 0], "right")
-        return rows[:, 1], a, b
-
     def within(key, a, b, right):  # the same search in the second numbers of each range
-        a, b = a.copy(), b.copy()
         while (open_ := a < b).any():
             mid = (a + b) // 2
             at = low[np.minimum(mid, n - 1)]
@@ -168,10 +196,13 @@ def occurrences(words: list[bytes], pieces: Sought) -> tuple[np.ndarray, np.ndar
             a, b = np.where(up, mid + 1, a), np.where(open_ & ~up, mid, b)
         return a
 
-    key, a, b = bounds(pieces.least)
-    first = within(key, a, b, False)
-    key, a, b = bounds(pieces.most)
-    last = within(key, a, b, True)
+    # of pieces of 8 bytes or fewer, the first numbers tell all
+    deep = np.flatnonzero(pieces.size > 8)
+    first = np.searchsorted(high, pieces.least[:, 0], "left")
+    last = np.searchsorted(high, pieces.most[:, 0], "right")
+    both = np.searchsorted(high, pieces.least[deep, 0], "right")  # first numbers are equal for least and most
+    first[deep], last[deep] = (within(pieces.least[deep, 1], first[deep], both, False),
+                               within(pieces.most[deep, 1], first[deep], both, True))
     count = np.maximum(0, last - first)
     piece = np.repeat(np.arange(len(pieces.text)), count)
     start = suffix[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)]
@@ -181,16 +212,17 @@ def occurrences(words: list[bytes], pieces: Sought) -> tuple[np.ndarray, np.ndar
     return start[keep], piece[keep]
 
 
-def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
-    """The ids of every word. Words with two word marks in a row, whose merges share
-    one score, are merged by the book."""
+def encode_words(p: Pieces, words: list[str]) -> list[bytes]:
+    """The ids of every word, as little-endian unsigned 32-bit numbers. Words with two
+    word marks in a row, whose merges share one score, are merged by the book."""
     out: list = [None] * len(words)
     easy, names = [], None
     for i, word in enumerate(words):
         if SPACE * 2 in word:
             ids, rank = names or (_ids(p), _ranks(p))
             names = ids, rank
-            out[i] = np.concatenate([[ids[s]] if s in ids else p.byte[list(s.encode())] for s, _ in merge(list(word), rank)])
+            out[i] = np.concatenate([[ids[s]] if s in ids else p.byte[list(s.encode())]
+                                     for s, _ in merge(list(word), rank)]).astype("<u4").tobytes()
         else:
             easy.append(i)
     if not easy:
@@ -199,40 +231,51 @@ def encode_words(p: Pieces, words: list[str]) -> list[np.ndarray]:
     start, piece = occurrences(raw, p.sought)
     end, piece = start + p.sought.size[piece], p.sought.id[piece]
     begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in raw])))
-    odd = [k for k, i in enumerate(easy) if not p.chars.issuperset(words[i])]
-    foreign = [(begin[k] + len(words[easy[k]][:j].encode()), len(c.encode()))
-               for k in odd for j, c in enumerate(words[easy[k]]) if c not in p.chars]
-    if foreign:
-        s, n = np.array(foreign).T
-        start, end, piece = np.r_[start, s], np.r_[end, s + n], np.r_[piece, np.full(len(s), FOREIGN)]
-    depth = end - begin[np.searchsorted(begin, start, "right") - 1]
+    # the characters that are no pieces, and their places in bytes
+    chars = np.frombuffer("\0".join([*(words[i] for i in easy), ""]).encode("utf-32-le"), "<u4")
+    odd = np.ones(0x110000, dtype=bool)
+    odd[[ord(c) for c in p.chars]] = False
+    odd = odd[chars]
+    odd[np.cumsum([len(words[i]) + 1 for i in easy]) - 1] = False
+    odd = np.flatnonzero(odd)
+    wide = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+    foreign, size = (np.cumsum(wide) - wide)[odd], wide[odd]
+    start, end = np.r_[start, foreign], np.r_[end, foreign + size]
+    piece = np.r_[piece, np.full(len(odd), FOREIGN)]
+    depth = end - np.repeat(begin[:-1], np.diff(begin))[start]
+    if len(depth) and depth.max() < 1 << 16:
+        depth = depth.astype(np.uint16)  # sorted faster
     order = np.argsort(depth, kind="stable")
     start, end, piece, depth = start[order], end[order], piece[order], depth[order]
     last, back = np.full(begin[-1] + 1, -1), np.full(begin[-1] + 1, -1)
-    cuts = np.searchsorted(depth, np.arange(1, (depth[-1] if len(depth) else 0) + 2))
+    cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
     for lo, hi in zip(cuts, cuts[1:]):
         s, t = start[lo:hi], piece[lo:hi]
         good = follows(p, last[s], t)
         last[end[lo:hi][good]], back[end[lo:hi][good]] = t[good], s[good]
-    # read the pieces back from the ends of all words at once
-    at, word = begin[1:] - 1, np.arange(len(easy))
-    found = []
+    # read the pieces back from the ends of all words at once, each to where it begins
+    at, first = begin[1:] - 1, begin[:-1]
+    there = np.full(begin[-1], -1)
     while len(at):
-        found.append((word, last[at], back[at]))
-        at = back[at]
-        more = at > begin[word]
-        at, word = at[more], word[more]
-    word, ids, at = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((at, word))
-    word, ids, at = word[order], ids[order], at[order]
-    ends = np.searchsorted(word, np.arange(len(easy) + 1))
-    for i, got in zip(easy, np.split(ids, ends[1:-1])):
-        out[i] = got
-    for k in odd:
-        here = at[ends[k]:ends[k + 1]] - begin[k]
-        stop = np.append(here[1:], len(raw[k]))
-        out[easy[k]] = np.concatenate([[g] if g >= 0 else p.byte[list(raw[k][a:b])]
-                                       for g, a, b in zip(out[easy[k]], here, stop)])
+        from_ = back[at]
+        there[from_] = last[at]
+        more = from_ > first
+        at, first = from_[more], first[more]
+    begins = there != -1
+    ends = np.concatenate(([0], np.cumsum(begins)))[begin].tolist()
+    at, ids = np.flatnonzero(begins), there[begins]
+    if len(odd):
+        n = np.ones(len(at), np.int64)
+        n[ids < 0] = size  # every one of them stands alone, and is spelled in bytes
+        data = np.frombuffer(b"\xff".join([*raw, b""]), np.uint8)
+        ends = np.concatenate(([0], np.cumsum(n)))[ends].tolist()
+        spelled = np.repeat(ids < 0, n)
+        ids = np.repeat(ids, n)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ids[spelled] = p.byte[data[np.repeat(foreign, size) + step]]
+    flat = ids.astype("<u4").tobytes()
+    for i, lo, hi in zip(easy, ends, ends[1:]):
+        out[i] = flat[4 * lo:4 * hi]
     return out
 
 
@@ -272,8 +315,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 new = list(words - older.keys())
                 for at in range(0, len(new), WORDS):
                     some = new[at:at + WORDS]
-                    for word, found in zip(some, encode_words(pieces, some)):
-                        known[word] = found.astype("<u4").tobytes()
+                    known.update(zip(some, encode_words(pieces, some)))
                 ids = [b"".join(map(known.__getitem__, t)) for t in texts]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                        pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -293,14 +335,36 @@ def decode(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
         spelled = [t.replace(SPACE.encode(), b" ") for t in p.text]
         for b, i in enumerate(p.byte):
             spelled[i] = bytes([b])
+        # after them, how they are spelled at the beginning of a text, where a blank is left out
+        pieces = pa.array([*spelled, *(t.removeprefix(b" ") for t in spelled)], pa.large_binary())
+        empty = np.array([t == b"" for t in spelled])
+
+        def text(part):
+            """The texts of an array of ids."""
+            _, offsets, data = part.buffers()
+            offsets = np.frombuffer(offsets, np.int64)[part.offset:part.offset + len(part) + 1]
+            ids = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view("<u4") if offsets[-1] > offsets[0] else np.zeros(0, "<u4")
+            begin = (offsets - offsets[0]) // 4
+            ids = ids.astype(np.int64)
+            lead = begin[:-1][np.diff(begin) > 0]
+            if empty[ids[lead]].any():
+                raise ValueError("control pieces have no text")
+            ids[lead] += len(spelled)
+            _, ends, data = pieces.take(pa.array(ids)).buffers()
+            ends = np.frombuffer(ends, np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            return pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[begin].tobytes()), data or pa.py_buffer(b"")])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
-                texts = [None if x is None else b"".join(map(spelled.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                         for x in part.column("ids").to_pylist()]
-                yield pa.record_batch([*(part.column(c) for c in keep),
-                                       pa.array([t if t is None else t.decode(errors="replace").removeprefix(" ") for t in texts],
-                                                pa.string())], names=[*keep, "text"])
+                ids = part.column("ids")
+                try:
+                    texts = text(pc.fill_null(ids, b"").cast(pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+                except (pa.ArrowInvalid, ValueError):  # bytes that are not UTF-8, or control pieces: one text after the other
+                    texts = pa.array([b"".join(map(spelled.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
+                                      .decode(errors="replace").removeprefix(" ") for x in ids.to_pylist()], pa.string())
+                yield pa.record_batch([*(part.column(c) for c in keep), pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))],
+                                      names=[*keep, "text"])
             release()
 
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{kinds}, text string")
