@@ -37,6 +37,8 @@ GAP = 0.15
 GROW = 64
 #: Seeds among which a task looks for first occurrences at once.
 UNIT = 1 << 20
+#: Texts to a bucket of seeds, a few hundred thousand occurrences; a task takes one bucket after the other.
+BUCKET = 1024
 
 
 def _winnowed(words, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,22 +75,50 @@ def _spans(of: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndar
     return tuple(map(np.concatenate, zip(*every)))
 
 
+def _packed(seed: np.ndarray, doc: np.ndarray, place: np.ndarray, more: np.ndarray) -> bytes:
+    """Occurrences sorted by seed, compressed: the steps from seed to seed, documents and
+    places, all their lowest bytes, then all the next ones, and so on."""
+    step = np.diff(seed, prepend=np.uint64(0))
+    columns = (step.astype("<u8"), 8), (doc.astype("<i8"), 8), (place.astype("<i4"), 4), (more.astype(np.uint8), 1)
+    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, n).T).tobytes() for c, n in columns),
+                       "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 21 * n, "zstd", asbytes=True), np.uint8).reshape(21, n)
+    step, doc, place = (np.ascontiguousarray(planes[lo:hi].T).view(kind).ravel() for lo, hi, kind in (
+        (0, 8, "<u8"), (8, 16, "<i8"), (16, 20, "<i4")))
+    return np.cumsum(step, dtype=np.uint64), doc, place, planes[20].astype(bool)
+
+
 def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """seed, doc, place of every occurrence; ``first``: it is the first among those that
-    were looked at together; ``more``: there were others. ``deal``: by what it is dealt
-    out, the first ones by seed, the others, which need not meet there, by document."""
+    """bucket, first, n, data: ``n`` occurrences in ``data``, packed. ``first``: each is
+    the first of its seed among those that were looked at together; ``more``: there were
+    others. The first ones are in the bucket of their seed, the others, which need not
+    meet there, in one of their document."""
+    # from the number of rows, so that a bucket's size depends on that of the texts alone
+    buckets = max(scratch.partitions(docs.sparkSession), docs.count() // BUCKET)
+
+    def bucket(hashes):
+        return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
     def emit(seed, doc, place):
         order = np.lexsort((place, doc, seed))
         seed, doc, place = seed[order], doc[order], place[order]
         new = np.ones(len(seed), dtype=bool)
         new[1:] = seed[1:] != seed[:-1]
         more = new & ~np.append(new[1:], True)
-        deal = np.where(new, seed, mix(doc.astype(np.uint64)))
-        for i in range(0, len(seed), 1 << 17):
-            at = slice(i, i + (1 << 17))
-            yield pa.record_batch([pa.array(signed(deal[at])), pa.array(signed(seed[at])), pa.array(doc[at]),
-                                   pa.array(place[at].astype(np.int32)), pa.array(new[at]), pa.array(more[at])],
-                                  ["deal", "seed", "doc", "place", "first", "more"])
+        rows = []
+        for first in (True, False):
+            at = np.flatnonzero(new == first)
+            of = bucket(seed[at] if first else mix(doc[at].astype(np.uint64)))
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+            rows += [(int(of[lo]), first, int(hi - lo), _packed(seed[x], doc[x], place[x], more[x]))
+                     for lo, hi in zip(cuts, cuts[1:]) for x in (at[lo:hi],)]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))],
+                              ["bucket", "first", "n", "data"])
 
     def scan(batches):
         scanner, waiting, size = Scanner(lower=True), [], 0
@@ -101,38 +131,48 @@ def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
                 if size > UNIT:
                     yield from emit(*map(np.concatenate, zip(*waiting)))
                     waiting, size = [], 0
-        if waiting:
+        if size:
             yield from emit(*map(np.concatenate, zip(*waiting)))
 
-    return docs.mapInArrow(scan, "deal long, seed long, doc long, place int, first boolean, more boolean")
+    return docs.mapInArrow(scan, "bucket int, first boolean, n int, data binary")
 
 
 def _links(seeds: DataFrame) -> DataFrame:
     """doc, place, source, source_place: every occurrence in another document than the
     seed's first of all, with that one; stored."""
     def link(batches):
-        last, source, source_place = None, 0, 0
+        waiting, last = [], None
         for batch in batches:
-            seed, doc, place, own, more = (np.asarray(batch.column(c)) for c in ("seed", "doc", "place", "first", "more"))
-            at = np.flatnonzero(own)
-            made, made_place = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int32)
-            if len(at):
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = seed[at][1:] != seed[at][:-1]
-                new[0] = last is None or seed[at[0]] != last
-                group = np.cumsum(new) - 1
-                heads = at[new]
-                firsts = np.concatenate(([source], doc[heads])), np.concatenate(([source_place], place[heads]))
-                made[at], made_place[at] = firsts[0][group + 1], firsts[1][group + 1]
-                last, source, source_place = seed[at[-1]], made[at[-1]], made_place[at[-1]]
-            # links, what the others of a seed ask for, and these others
-            kinds = (own & (made != doc), own & more, ~own)
-            keep = np.concatenate([np.flatnonzero(k) for k in kinds])
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [int(k.sum()) for k in kinds])
-            yield pa.record_batch([pa.array(kind), *(pa.array(c[keep]) for c in (seed, doc, place, made, made_place))],
+            for bucket, first, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "n", "data"))):
+                if waiting and bucket != last:
+                    yield from linked(waiting)
+                    waiting = []
+                last = bucket
+                if first:
+                    waiting.append(_unpacked(data, n))
+                else:  # what the others of a seed are joined by
+                    seed, doc, place, _ = _unpacked(data, n)
+                    yield from rows(2, seed, doc, place, np.zeros(n, np.int64), np.zeros(n, np.int32))
+        if waiting:
+            yield from linked(waiting)
+
+    def linked(waiting):
+        seed, doc, place, more = map(np.concatenate, zip(*waiting))
+        order = np.lexsort((place, doc, seed))
+        seed, doc, place, more = seed[order], doc[order], place[order], more[order]
+        new = np.ones(len(seed), dtype=bool)
+        new[1:] = seed[1:] != seed[:-1]
+        heads = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for kind, at in (0, np.flatnonzero(doc[heads] != doc)), (1, np.flatnonzero(more)):  # links, what the others ask for
+            yield from rows(kind, seed[at], doc[at], place[at], doc[heads[at]], place[heads[at]])
+
+    def rows(kind, seed, *columns):
+        for lo in range(0, len(seed), 1 << 16):
+            part = [c[lo:lo + (1 << 16)] for c in (signed(seed), *columns)]
+            yield pa.record_batch([pa.array(np.full(len(part[0]), kind, np.int8)), *map(pa.array, part)],
                                   ["kind", "seed", "doc", "place", "source", "source_place"])
 
-    found = (seeds.repartition("deal").sortWithinPartitions("first", "seed", "doc", "place")
+    found = (seeds.repartition("bucket").sortWithinPartitions("bucket")
              .mapInArrow(link, "kind byte, seed long, doc long, place int, source long, source_place int"))
     found = scratch.table(found)
     columns = ["doc", "place", "source", "source_place"]

@@ -162,3 +162,21 @@ def test_rows_do_not_depend_on_the_layout(spark, monkeypatch):
     assert rows(3) == one
     monkeypatch.setattr(sub, "UNIT", 500)
     assert rows(16) == one
+
+
+def test_seeds_are_shuffled_packed(spark):
+    """The shuffled bytes of an occurrence are fewer than those of its seed, document and place."""
+    rng = np.random.default_rng(3)
+    n = 1 << 16
+    seed = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    doc, place, more = rng.integers(10**6, 10**6 + 3000, n), rng.integers(0, 800, n).astype(np.int32), rng.random(n) < 0.1
+    data = sub._packed(seed, doc, place, more)
+    assert len(data) < 12 * n
+    for a, b in zip(sub._unpacked(data, n), (seed, doc, place, more)):
+        assert (a == b).all()
+    odd = np.array([0, 5, 5, 2**64 - 1], np.uint64), np.array([-2**63, 2**63 - 1, -1, 0]), np.array([0, 1, 2**31 - 1, 3], np.int32)
+    for a, b in zip(sub._unpacked(sub._packed(*odd, np.ones(4, bool)), 4), odd):
+        assert (a == b).all()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").coalesce(1)
+    got = sub._seeds(docs, sub.SEED, sub.WINDOW).agg({"n": "sum"}).first()[0], sub._seeds(docs, sub.SEED, sub.WINDOW).collect()
+    assert sum(len(r["data"]) for r in got[1]) < 14 * got[0]
