@@ -78,6 +78,38 @@ def test_lm_score_learns_every_word(spark):
         assert score[1] < 0 < score[2]
 
 
+def test_lm_score_keeps_only_unusual_pairs(spark, monkeypatch):
+    """Pairs that occur once, most of all, are not stored: all tables together are smaller than
+    the texts. Scores are those by hand, with copies, and with words that are not broadcast,
+    whether those that occur once are known or not."""
+    import os
+
+    from orderlytics.llm import scratch
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"word{x}" for x in rng.integers(0, 3000, 100))) for i in range(300)]
+    rows += [(1000 + i, f"single{i} seen{i % 40} seen{i % 39} {rows[i][1]}") for i in range(60)] + [(5, rows[5][1])] * 3
+    target = [(i, t) for i, (_, t) in enumerate(rows[:20])] + [(50, "seen1 seen2 single3 other")]
+    want = by_hand(rows, target, 10_000)
+    stored = []
+    table = scratch.table
+
+    def measured(df, *more):
+        out = table(df, *more)
+        folder = out.scratch_path.removeprefix("file:")
+        stored.append(sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet")))
+        return out
+    monkeypatch.setattr(scratch, "table", measured)
+    for held, repeated, common in ((500_000, 1 << 22, 0), (50, 1 << 22, 100), (50, 0, 100), (0, 0, 1 << 19)):
+        monkeypatch.setattr(scratch, "BROADCAST_ROWS", held)
+        monkeypatch.setattr(lm_score, "REPEATED", repeated, raising=False)
+        docs = frame(spark, rows)
+        stored.clear()
+        out = lm_score.cross_entropy_difference(docs, frame(spark, target), docs, ids=10_000, common=common).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in out) == want
+        if held == 500_000:
+            assert sum(stored) < sum(len(t) for _, t in rows)
+
+
 def kneser_ney_by_hand(texts, telling):
     """text -> mean log-likelihood ratio per word, with dictionaries of words."""
     runs = {c: {(b, h, w) for t, k in texts if k == c for b, h, w in zip([None, None, *t], [None, *t], t)} for c in (1, 0)}
